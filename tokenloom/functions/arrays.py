@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def evaluated_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Select ``keep`` and the new columns so that each new one is computed once per row.
+
+    A later filter on an ordinary projected column is moved below the projection
+    and repeats its expression at every use. It cannot move below a generator, so
+    the columns leave through one that yields exactly one row.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(made)))
+
+
 def utf8_ids(c: Column) -> Column:
     """UTF-8 bytes of a text as integers 0-255.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
-from tokenloom.functions.arrays import let
+from tokenloom.functions.arrays import evaluated_once, let
 from tokenloom.functions.text import (
     py_strip,
     strip_or_empty,
@@ -31,14 +31,18 @@ def _unified(
     df: DataFrame, source: str, instruction: Column, response: Column, context: Column | None = None
 ) -> DataFrame:
     """Put the unified columns beside the row's own keys."""
-    keys = [c for c in df.columns if c in ("ord", "example_id")]
-    return df.select(
-        *keys,
-        instruction.alias("instruction"),
-        (F.lit("") if context is None else context).alias("context"),
-        response.alias("response"),
-        F.lit(source).alias("source"),
+    made = evaluated_once(
+        df,
+        _keys(df),
+        instruction=instruction,
+        context=F.lit("") if context is None else context,
+        response=response,
     )
+    return made.withColumn("source", F.lit(source))
+
+
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c in ("ord", "example_id")]
 
 
 def _only_complete(df: DataFrame) -> DataFrame:
@@ -69,7 +73,10 @@ def smol_smoltalk(df: DataFrame) -> DataFrame:
     pair = _user_then_assistant(
         F.col("messages"), "role", "content", "user", "assistant", lambda v: v.isNotNull()
     )
-    return _only_complete(_unified(df, "smol-smoltalk", pair["human"], pair["answer"]))
+    paired = df.select(*_keys(df), pair.alias("pair"))
+    return _only_complete(
+        _unified(paired, "smol-smoltalk", F.col("pair.human"), F.col("pair.answer"))
+    )
 
 
 def tulu3(df: DataFrame) -> DataFrame:
@@ -119,11 +126,13 @@ def slimorca(df: DataFrame) -> DataFrame:
         lambda v: py_strip(v) != "",
         system_role="system",
     )
-    human, answer = py_strip(pair["human"]), py_strip(pair["answer"])
-    system = F.coalesce(py_strip(pair["system"]), F.lit(""))
-    whole = truthy(human) & truthy(answer)
+    paired = df.select(*_keys(df), pair.alias("pair"))
+    human = py_strip(F.col("pair.human"))
+    system = strip_or_empty(F.col("pair.system"))
     return _only_complete(
-        _unified(df, "slimorca", F.when(whole, with_system_prefix(system, human)), answer)
+        _unified(
+            paired, "slimorca", with_system_prefix(system, human), py_strip(F.col("pair.answer"))
+        )
     )
 
 
@@ -140,8 +149,14 @@ def lmsys_chat(df: DataFrame) -> DataFrame:
     pair = _user_then_assistant(
         F.col("conversation"), "role", "content", "user", "assistant", lambda v: py_strip(v) != ""
     )
+    paired = df.select(*_keys(df), pair.alias("pair"))
     return _only_complete(
-        _unified(df, "lmsys-chat", py_strip(pair["human"]), py_strip(pair["answer"]))
+        _unified(
+            paired,
+            "lmsys-chat",
+            py_strip(F.col("pair.human")),
+            py_strip(F.col("pair.answer")),
+        )
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
-from tokenloom.functions.arrays import trailing_run
+from tokenloom.functions.arrays import evaluated_once, trailing_run
 from tokenloom.functions.text import py_strip, render_prompt, text_after, text_before
 from tokenloom.operators.tokenizers import Tokenizer
 
@@ -14,11 +14,12 @@ from tokenloom.operators.tokenizers import Tokenizer
 def with_token_counts(examples: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Add ``prompt_len``, ``response_len`` (delimiter included) and ``n_tokens``."""
     prompt = render_prompt(F.col("instruction"), F.col("context"))
-    return (
-        examples.withColumn("prompt_len", tokenizer.count(prompt))
-        .withColumn("response_len", tokenizer.count(py_strip(F.col("response"))) + 1)
-        .withColumn("n_tokens", F.col("prompt_len") + F.col("response_len"))
-    )
+    return evaluated_once(
+        examples,
+        ["*"],
+        prompt_len=tokenizer.count(prompt),
+        response_len=tokenizer.count(py_strip(F.col("response"))) + 1,
+    ).withColumn("n_tokens", F.col("prompt_len") + F.col("response_len"))
 
 
 def length_ok(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
+from tokenloom.functions.arrays import evaluated_once, let
 from tokenloom.functions.text import passes_native_english_checks
 from tokenloom.operators.encode import length_ok, with_token_counts
 from tokenloom.operators.langid import LanguageProfile, identify
@@ -13,11 +14,9 @@ from tokenloom.operators.prefix import running_total_by_key
 from tokenloom.operators.tokenizers import Tokenizer
 
 
-def with_language_text(examples: DataFrame) -> DataFrame:
-    """Add the text whose language is tested: instruction and response, not the context."""
-    return examples.withColumn(
-        "language_text", F.concat(F.col("instruction"), F.lit(" "), F.col("response"))
-    )
+def language_text() -> Column:
+    """The text whose language is tested: instruction and response, not the context."""
+    return F.concat(F.col("instruction"), F.lit(" "), F.col("response"))
 
 
 def with_skip_reason(
@@ -35,13 +34,18 @@ def with_skip_reason(
     ``(source, ord)`` has to identify a row. The language job sees only texts
     that passed the cheap checks. Without a profile that stage is left out.
     """
-    staged = with_language_text(with_token_counts(examples, tokenizer)).withColumn(
-        "native_ok", passes_native_english_checks(F.col("language_text"))
+    staged = evaluated_once(
+        with_token_counts(examples, tokenizer),
+        ["*"],
+        native_ok=let(language_text(), passes_native_english_checks),
     )
     english = F.col("native_ok")
     if profile is not None:
+        survivors = staged.select(
+            "source", "ord", F.when(F.col("native_ok"), language_text()).alias("language_text")
+        )
         found = identify(
-            staged.where("native_ok"),
+            survivors,
             profile,
             keys=["source", "ord"],
             text="language_text",
@@ -54,7 +58,7 @@ def with_skip_reason(
         .when(~english, F.lit("lang"))
         .when(~length_ok(max_tokens, min_response), F.lit("len"))
     )
-    return staged.withColumn("skip_reason", reason).drop("language_text", "native_ok", "language")
+    return staged.withColumn("skip_reason", reason).drop("native_ok", "language")
 
 
 def cap_per_source(

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.arrays import let
 from tokenloom.operators.lookup import lookup_join
 from tokenloom.session import materialise
 
@@ -18,18 +17,9 @@ MAX_LANGUAGES = 500
 
 
 def trigrams(text: Column, max_chars: int | None = None) -> Column:
-    """Lower-cased character trigrams; characters are split once, so this stays linear."""
+    """Lower-cased character trigrams: one empty match per place, capturing what follows."""
     sample = text if max_chars is None else F.substring(text, 1, max_chars)
-
-    def windows(chars: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(chars) - 3),
-            lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
-        )
-
-    return F.when(
-        F.length(sample) >= 3, let(F.split(F.lower(sample), ""), windows)
-    ).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.lower(sample), F.lit("(?s)(?=(...))"), F.lit(1))
 
 
 def trigram_counts(

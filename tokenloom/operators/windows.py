@@ -62,17 +62,18 @@ def window_tokens(fragments: DataFrame, window: int = fv.WINDOW_TOKENS) -> DataF
         "split", "shard_id", F.inline(F.transform(F.sequence(first, last), part))
     )
     whole = parts.groupBy("split", "shard_id", "win").agg(
-        F.array_sort(F.collect_list("part")).alias("parts")
+        F.array_sort(F.collect_list("part")).alias("parts"),
+        F.sum(F.size("part.ids")).alias("n_ids"),
     )
-    joined = whole.select(
+    # Only a shard's last window can be short.
+    whole = whole.where(F.col("n_ids") == window + 1)
+    return whole.select(
         "split",
         "shard_id",
         "win",
         (F.col("win") * t).alias("start"),
         F.flatten(F.transform("parts", lambda p: p["ids"])).alias("tokens"),
     )
-    # Only a shard's last window can be short, and its own length says so.
-    return joined.where(F.size("tokens") == window + 1)
 
 
 def shifted_pair(rows: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -11,8 +11,8 @@ from tokenloom.operators import pack, windows
 from tokenloom.operators.quality import id_range
 from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
 from tokenloom.plans import sqltext as q
-from tokenloom.plans.catalog import query, table
-from tokenloom.session import scratch_path
+from tokenloom.plans.catalog import query
+from tokenloom.session import scratch_path, spread
 from tokenloom.sources.corpus import read_corpus, with_file_ordinal
 from tokenloom.sources.shards import read_token_shards, write_token_shards
 
@@ -22,7 +22,8 @@ SHARD, WINDOW, WORLD, BATCH = 100_000, 64, 2, 4
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_corpus(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read_corpus(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return spread(docs.select("doc_id", "text", "source"), "doc_id")
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:

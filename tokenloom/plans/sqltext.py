@@ -92,14 +92,14 @@ wins AS (
 CONVERSATION_PAIRS = f"""
 u AS (SELECT conv_id, min(turn) AS ut, arg_min({strip('text')}, turn) AS human
       FROM conversations WHERE role = 'user' AND {strip('text')} <> '' GROUP BY 1),
-a AS (SELECT c.conv_id, min(turn) AS at, arg_min({strip('text')}, turn) AS answer
+a AS (SELECT c.conv_id, min(turn) AS ait, arg_min({strip('text')}, turn) AS answer
       FROM conversations c JOIN u USING (conv_id)
       WHERE role = 'assistant' AND turn > ut GROUP BY 1),
 s AS (SELECT conv_id, min(turn) AS st, arg_min({strip('text')}, turn) AS sys
       FROM conversations WHERE role = 'system' AND {strip('text')} <> '' GROUP BY 1),
 ids AS (SELECT DISTINCT conv_id FROM conversations),
 pairs AS (
-  SELECT conv_id, human, answer, CASE WHEN st < at THEN sys END AS sys
+  SELECT conv_id, human, answer, CASE WHEN st < ait THEN sys END AS sys
   FROM ids LEFT JOIN u USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN s USING (conv_id)),
 chat AS (
   SELECT conv_id AS ord, 'lmsys-chat' AS source,

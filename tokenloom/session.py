@@ -70,3 +70,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def default_buckets(spark: SparkSession) -> int:
     """Number of ordered buckets for a running total: the session's shuffle width."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Redistribute a scan that has fewer tasks than the session has cores.
+
+    Happens with few small files or with large row groups; a table of many files
+    is returned as it is. The key has to be close to unique.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

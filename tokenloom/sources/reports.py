@@ -163,9 +163,9 @@ def preview_lines(
             ),
             F.concat(
                 F.format_string(
-                    "[%s]  #%d  total=%d tok  (prompt=%d | response=%d)\n",
+                    "[%s]  #%s  total=%d tok  (prompt=%d | response=%d)\n",
                     "source",
-                    "index",
+                    F.col("index").cast("string"),
                     *TOKEN_COLUMNS,
                 ),
                 F.lit("INSTRUCTION:\n"),
