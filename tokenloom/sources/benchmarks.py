@@ -30,6 +30,21 @@ def read_completion(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMPLETION_SCHEMA).json(path)
 
 
+def subject_csv(spark: SparkSession):
+    """Reader settings for question files.
+
+    An empty field and a missing one look alike once read, so the null marker is
+    a character that no file contains.
+    """
+    return (
+        spark.read.option("multiLine", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("nullValue", "\x00")
+        .option("emptyValue", "")
+    )
+
+
 def read_subjects(
     spark: SparkSession,
     root: str,
@@ -42,15 +57,9 @@ def read_subjects(
     a filter on the name do the selection, so a subject without a file is simply
     absent. Rows with fewer than six fields are dropped.
     """
-    # CSV cannot tell an empty answer field from a missing one once read, so the
-    # null marker is one that no file contains.
     rows = (
-        spark.read.schema(SUBJECT_SCHEMA)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "\x00")
-        .option("emptyValue", "")
+        subject_csv(spark)
+        .schema(SUBJECT_SCHEMA)
         .option("pathGlobFilter", f"*_{split}.csv")
         .csv(f"{root.rstrip('/')}/{split}")
     )
@@ -72,9 +81,9 @@ def read_science(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCIENCE_SCHEMA).json(path)
 
 
-def read_science_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored answers of a paged service: one JSON document per page."""
-    return spark.read.schema(SCIENCE_PAGE_SCHEMA).json(path, multiLine=True)
+def read_science_pages(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """Stored answers of a paged service: one JSON document per file, or one per line."""
+    return spark.read.schema(SCIENCE_PAGE_SCHEMA).json(path, multiLine=multi_line)
 
 
 @dataclass(frozen=True)

@@ -84,7 +84,14 @@ def source_stats_of(metadata: DataFrame) -> DataFrame:
 
 def write_analysis_csv(table: DataFrame, path: str) -> None:
     """Header and quoted text, so that multi-line fields survive."""
-    table.write.csv(path, header=True, quoteAll=True, escape='"')
+    table.write.csv(
+        path,
+        header=True,
+        quoteAll=True,
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
