@@ -12,8 +12,19 @@ from tokenloom.operators.tokenizers import Tokenizer
 
 
 def with_token_counts(examples: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Add ``prompt_len``, ``response_len`` (delimiter included) and ``n_tokens``."""
+    """Add ``prompt_len``, ``response_len`` (delimiter included) and ``n_tokens``.
+
+    A tokenizer that needs Python runs here once, and its ids stay in the row.
+    """
     prompt = render_prompt(F.col("instruction"), F.col("context"))
+    if not tokenizer.native:
+        return (
+            examples.withColumn("prompt_ids", tokenizer.encode(prompt))
+            .withColumn("response_ids", tokenizer.encode(py_strip(F.col("response"))))
+            .withColumn("prompt_len", F.size("prompt_ids"))
+            .withColumn("response_len", F.size("response_ids") + 1)
+            .withColumn("n_tokens", F.col("prompt_len") + F.col("response_len"))
+        )
     return evaluated_once(
         examples,
         ["*"],
@@ -34,13 +45,13 @@ def encode_examples(examples: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     Expects the counts of :func:`with_token_counts`. The mask is 1 on the answer
     and on the delimiter that ends it.
     """
-    prompt = render_prompt(F.col("instruction"), F.col("context"))
-    answer = py_strip(F.col("response"))
+    if "prompt_ids" in examples.columns:
+        prompt, answer = F.col("prompt_ids"), F.col("response_ids")
+    else:
+        prompt = tokenizer.encode(render_prompt(F.col("instruction"), F.col("context")))
+        answer = tokenizer.encode(py_strip(F.col("response")))
     return examples.withColumn(
-        "tokens",
-        F.concat(
-            tokenizer.encode(prompt), tokenizer.encode(answer), F.array(F.lit(tokenizer.eot_id))
-        ),
+        "tokens", F.concat(prompt, answer, F.array(F.lit(tokenizer.eot_id)))
     ).withColumn(
         "mask",
         F.concat(

@@ -35,7 +35,7 @@ def place_documents(
     if tokenizer.native:
         sized = docs.withColumn("n_tokens", tokenizer.count(F.col(text)) + 1)
     else:
-        sized = materialise(tokenise_corpus(docs, tokenizer, text), "tokenised")
+        sized = materialise(tokenise_corpus(docs, tokenizer, text).drop(text), "tokenised")
     return running_total_by_key(
         sized,
         F.col("n_tokens"),

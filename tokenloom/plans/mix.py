@@ -476,14 +476,19 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasoned.where(F.col("skip_reason").isNull())
 
 
-def _example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded examples with split, shard and row; ranks are computed on keys alone."""
+def _placed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept examples with split, shard and row; ranks are computed on keys alone."""
     kept = materialise(_kept(spark, sf_dir), "kept")
     keys = ["source", "ord"]
     placed = split.row_shards(
         split.holdout_split(kept.select(*keys), keys), keys, rows_per_shard=ROWS_PER_SHARD
     )
-    return encode.encode_examples(kept, BYTES).join(placed, keys)
+    return kept.join(placed, keys)
+
+
+def _example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with tokens, which are made after the join: texts are smaller to move."""
+    return encode.encode_examples(_placed_examples(spark, sf_dir), BYTES)
 
 
 def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,7 +550,7 @@ SELECT split, shard_id::BIGINT AS shard_id, count(*) AS n_rows, max(row_id)::BIG
 )
 def example_shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "example-shards")
-    write_example_shards(_example_rows(spark, sf_dir), path)
+    write_example_shards(_placed_examples(spark, sf_dir), BYTES, path)
     stored = read_example_shards(spark, path)
     return (
         quality.shards_before_gap(stored)

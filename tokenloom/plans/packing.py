@@ -12,7 +12,7 @@ from tokenloom.operators.quality import id_range
 from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
 from tokenloom.plans import sqltext as q
 from tokenloom.plans.catalog import query
-from tokenloom.session import scratch_path, spread
+from tokenloom.session import materialise, scratch_path, spread
 from tokenloom.sources.corpus import read_corpus, with_file_ordinal
 from tokenloom.sources.shards import read_token_shards, write_token_shards
 
@@ -180,7 +180,7 @@ UNION ALL {_batch_sql('val', 'shard_id, win', 0)}"""
 )
 def window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two shuffled training epochs and one ordered validation pass."""
-    index = _index(spark, sf_dir)
+    index = materialise(_index(spark, sf_dir), "windows")
 
     def served(split: str, epoch: int) -> DataFrame:
         order = windows.served_order(index, ("shard_id", "win"), split, epoch=epoch)

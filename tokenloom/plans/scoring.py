@@ -330,7 +330,7 @@ def val_loss_mean_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first batches of the validation pass; how many is part of the measure."""
     fragments = packing._fragments(spark, sf_dir).where(F.col("split") == "val")
     rows = windows.window_tokens(fragments, packing.WINDOW)
-    index = packing._index(spark, sf_dir)
+    index = materialise(packing._index(spark, sf_dir), "windows")
     order = windows.served_order(index, ("shard_id", "win"), "val")
     order = windows.with_total(order, index.where(F.col("split") == "val"))
     wanted = windows.batches(order, packing.BATCH, 1, "n_rows").where(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.operators.encode import encode_examples
 from tokenloom.operators.quality import require_split, split_shards
+from tokenloom.operators.tokenizers import Tokenizer
 
 FRAGMENT_SCHEMA = (
     "shard_pos BIGINT, doc_id BIGINT, tokens ARRAY<INT>, split STRING, shard_id BIGINT"
@@ -39,11 +41,13 @@ def shard_name(prefix: str, split: str, shard_id: int) -> str:
     return f"{prefix}_{require_split(split)}_{shard_id:06d}"
 
 
-def write_example_shards(encoded: DataFrame, path: str) -> None:
+def write_example_shards(placed: DataFrame, tokenizer: Tokenizer, path: str) -> None:
     """``split=/shard_id=`` folders; tokens, mask and source of an example share one row.
 
-    Unpadded: padding is added when reading. Sources are labels of at most 30 characters.
+    Examples are moved to their shard as text and encoded there. Rows are stored
+    unpadded; padding is added when reading. Sources are labels of at most 30 characters.
     """
+    encoded = encode_examples(placed.repartition("split", "shard_id"), tokenizer)
     (
         encoded.select(
             "split",
@@ -55,7 +59,6 @@ def write_example_shards(encoded: DataFrame, path: str) -> None:
             "tokens",
             "mask",
         )
-        .repartition("split", "shard_id")
         .sortWithinPartitions("split", "shard_id", "row_id")
         .write.partitionBy("split", "shard_id")
         .parquet(path)
