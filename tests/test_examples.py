@@ -160,7 +160,7 @@ def test_language_job(spark):
     # The same answer when the weights are too many to broadcast.
     salted = lookup.lookup_join(
         asked.select("k", F.explode(langid.trigrams(F.col("text"))).alias("tri")),
-        profile.weights, ["tri"], spread_by=F.col("k"), max_rows=3, salts=4,
+        profile.weights, ["tri"], spread_by=F.col("k"), max_cells=3, salts=4,
     )
     plain = lookup.lookup_join(
         asked.select("k", F.explode(langid.trigrams(F.col("text"))).alias("tri")),

@@ -90,16 +90,9 @@ def nested_science_rows(pages: DataFrame) -> DataFrame:
 
     Pages count in offset order up to the first empty one.
     """
-    ordered = Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One row per page reaches the window, without the rows of the page.
-    ends = (
-        pages.select("offset", (F.size("rows") == 0).cast("int").alias("empty"))
-        .withColumn("ended", F.max("empty").over(ordered))
-        .where("ended = 0")
-        .select("offset")
-    )
+    first_empty = pages.agg(F.min(F.when(F.size("rows") == 0, F.col("offset")))).scalar()
     return (
-        pages.join(ends, "offset", "left_semi")
+        pages.where(F.coalesce(F.col("offset") < first_empty, F.lit(True)))
         .select("offset", F.posexplode("rows").alias("at", "entry"))
         .select(
             (F.col("offset") + F.col("at")).alias("ord"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_CELLS = 20_000_000
 SALTS = 32
 
 
@@ -15,14 +15,16 @@ def lookup_join(
     on: list[str],
     *,
     spread_by: Column,
-    max_rows: int = BROADCAST_ROWS,
+    max_cells: int = BROADCAST_CELLS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join that stays even when one key holds a large share of ``left``.
 
-    Up to ``max_rows`` rows ``right`` is broadcast. A larger one is shuffled, with
-    ``left`` spread over ``salts`` copies of each key so that no key fills a task.
+    ``right`` is broadcast while its rows times columns stay within ``max_cells``. A
+    larger one is shuffled, with ``left`` spread over ``salts`` copies of each key so
+    that no key fills a task. Columns of ``right`` have to be of fixed or short width.
     """
+    max_rows = max_cells // len(right.columns)
     if right.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(right), on, "left")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))

@@ -65,12 +65,9 @@ def baseline_table(spark) -> DataFrame:
 
 
 def against_baselines(values: DataFrame, baselines: DataFrame, size: str) -> DataFrame:
-    """Distance of each value from each published score of one size.
-
-    The broadcast side is the fixed table of published scores, a dozen rows.
-    """
+    """Distance of each value from each published score of one size."""
     chosen = baselines.where(F.col("size") == size).select("stream", "family", "baseline")
-    return values.join(F.broadcast(chosen), "stream").withColumn(
+    return values.join(chosen, "stream").withColumn(
         "difference", F.col("value") - F.col("baseline")
     )
 

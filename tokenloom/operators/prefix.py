@@ -43,7 +43,8 @@ def range_bucket(key: Column, bounds: Sequence[int]) -> Column:
     """Bucket of an integer key: binary search in the bounds, log2 steps per row."""
     if not bounds:
         return F.lit(0)
-    sorted_bounds = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
+    # One text literal, folded into a constant array: thousands of bounds stay one expression.
+    sorted_bounds = F.split(F.lit(",".join(str(b) for b in bounds)), ",").cast("array<bigint>")
     halvings = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     jumps = F.array(*[F.lit(j) for j in halvings])
 
@@ -125,7 +126,7 @@ def running_total_by_key(
 
     ``bounds_from`` may name a cheaper table holding the same keys.
     """
-    wanted = buckets or default_buckets(df.sparkSession)
+    wanted = buckets or default_buckets(bounds_from if bounds_from is not None else df)
     bounds = range_bounds(bounds_from if bounds_from is not None else df, key, wanted)
     return running_total(
         df,
@@ -149,7 +150,7 @@ def shuffled_rank(
     buckets: int | None = None,
 ) -> DataFrame:
     """0-based position of every row in the order of its md5 key."""
-    wanted = buckets or default_buckets(df.sparkSession)
+    wanted = buckets or default_buckets(df)
     keyed = df.withColumn("_rank_key", md5_key)
     return running_total(
         keyed,

@@ -52,15 +52,19 @@ def shard_gaps(rows: DataFrame) -> DataFrame:
 
 def shards_before_gap(rows: DataFrame) -> DataFrame:
     """Rows of the shards 0, 1, ... up to the first missing number of each split."""
-    shards = rows.select("split", "shard_id").distinct()
-    # One row per shard: (number, how many shards come before it) differ from the gap on.
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("split").orderBy("shard_id")
-    unbroken = shards.withColumn("_n", F.row_number().over(order) - 1).where(
-        F.col("_n") == F.col("shard_id")
+    shards = rows.select("split", F.col("shard_id").cast("bigint").alias("shard_id")).distinct()
+    # A virtual shard -1 makes a missing shard 0 look like any other gap.
+    known = shards.unionByName(
+        shards.select("split").distinct().withColumn("shard_id", F.lit(-1).cast("bigint"))
+    )
+    followed = shards.select("split", (F.col("shard_id") - 1).alias("shard_id"))
+    last = (
+        known.join(followed, ["split", "shard_id"], "left_anti")
+        .groupBy("split")
+        .agg(F.min("shard_id").alias("_last"))
     )
-    return rows.join(unbroken.drop("_n"), ["split", "shard_id"], "left_semi")
+    # One row per split.
+    return rows.join(last, "split").where(F.col("shard_id") <= F.col("_last")).drop("_last")
 
 
 def id_range(rows: DataFrame, ids: str = "tokens", limit: int = fv.TOKEN_ID_LIMIT) -> DataFrame:

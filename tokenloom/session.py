@@ -67,9 +67,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """Number of ordered buckets for a running total: the session's shuffle width."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 65_536
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Number of ordered buckets for a running total over ``df``.
+
+    The session's shuffle width, or more when the tables read are so large that a
+    bucket would hold over 256 MB of them.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, width, min(MAX_BUCKETS, _input_bytes(df) // BUCKET_BYTES))
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, by Spark's estimate; unknown sizes count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 62)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
