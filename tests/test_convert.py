@@ -181,7 +181,7 @@ def example(spark, instruction, context, response):
 
 
 def reason(spark, instruction, context, response):
-    df = filters.with_skip_reason(example(spark, instruction, context, response), ByteTokenizer())
+    df = filters.skip_reasons(example(spark, instruction, context, response), ByteTokenizer())
     return df.first()["skip_reason"]
 
 

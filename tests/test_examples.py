@@ -154,7 +154,7 @@ def test_language_job(spark):
     asked = spark.createDataFrame(
         [(0, "the dog and the house"), (1, "la maison et le chat"), (2, "no"), (3, None)], "k int, text string"
     )
-    want = {0: "en", 1: "fr"}
+    want = {0: "en", 1: "fr", 2: None, 3: None}
     got = langid.identify(asked, profile, keys=["k"])
     assert {r["k"]: r["language"] for r in got.collect()} == want
     # The same answer when the weights are too many to broadcast.
@@ -179,5 +179,5 @@ def test_language_stage_rejects(spark):
     df = spark.createDataFrame(
         [(0, "the dog", "", english, "s"), (1, "le chien", "", french, "s"), (2, None, None, None, "s")], SCHEMA
     )
-    got = filters.with_skip_reason(df, BYTES, profile=langid.train_profile(train))
+    got = filters.skip_reasons(df, BYTES, profile=langid.train_profile(train))
     assert {r["ord"]: r["skip_reason"] for r in got.collect()} == {0: None, 1: "lang", 2: "fmt"}

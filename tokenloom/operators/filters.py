@@ -14,12 +14,23 @@ from tokenloom.operators.prefix import running_total_by_key
 from tokenloom.operators.tokenizers import Tokenizer
 
 
+REASON_COLUMNS = ["source", "ord", "prompt_len", "response_len", "n_tokens"]
+
+
 def language_text() -> Column:
     """The text whose language is tested: instruction and response, not the context."""
     return F.concat(F.col("instruction"), F.lit(" "), F.col("response"))
 
 
-def with_skip_reason(
+def _with_native_checks(examples: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    return evaluated_once(
+        with_token_counts(examples, tokenizer),
+        ["*"],
+        native_ok=let(language_text(), passes_native_english_checks),
+    )
+
+
+def skip_reasons(
     examples: DataFrame,
     tokenizer: Tokenizer,
     *,
@@ -29,36 +40,57 @@ def with_skip_reason(
     max_tokens: int = fv.SEQUENCE_TOKENS,
     min_response: int = fv.MIN_RESPONSE_TOKENS,
 ) -> DataFrame:
-    """Add token counts and ``skip_reason``: ``fmt``, ``lang``, ``len`` or NULL for kept rows.
+    """``(source, ord, prompt_len, response_len, n_tokens, skip_reason)``, one row per example.
 
-    ``(source, ord)`` has to identify a row. The language job sees only texts
-    that passed the cheap checks. Without a profile that stage is left out.
+    The reason is ``fmt``, ``lang`` or ``len``, the first that applies, or NULL for
+    a kept row. ``(source, ord)`` has to identify a row. The language job sees only
+    texts that passed the cheap checks, and no text is shuffled. Without a profile
+    that stage is left out.
     """
-    staged = evaluated_once(
-        with_token_counts(examples, tokenizer),
-        ["*"],
-        native_ok=let(language_text(), passes_native_english_checks),
+    staged = _with_native_checks(examples, tokenizer).withColumn(
+        "unusable", F.col("instruction").isNull()
     )
+    narrow = [*REASON_COLUMNS, "unusable", "native_ok"]
     english = F.col("native_ok")
-    if profile is not None:
+    if profile is None:
+        rows = staged.select(*narrow)
+    else:
         survivors = staged.select(
-            "source", "ord", F.when(F.col("native_ok"), language_text()).alias("language_text")
+            *narrow, F.when(F.col("native_ok"), language_text()).alias("language_text")
         )
-        found = identify(
-            survivors,
-            profile,
-            keys=["source", "ord"],
-            text="language_text",
-            max_chars=max_chars,
+        rows = identify(
+            survivors, profile, keys=narrow, text="language_text", max_chars=max_chars
         )
-        staged = staged.join(found, ["source", "ord"], "left")
         english = english & F.coalesce(F.col("language") == wanted, F.lit(False))
     reason = (
-        F.when(F.col("instruction").isNull(), F.lit("fmt"))
+        F.when(F.col("unusable"), F.lit("fmt"))
         .when(~english, F.lit("lang"))
         .when(~length_ok(max_tokens, min_response), F.lit("len"))
     )
-    return staged.withColumn("skip_reason", reason).drop("native_ok", "language")
+    return rows.select(*REASON_COLUMNS, reason.alias("skip_reason"))
+
+
+def kept_examples(
+    examples: DataFrame,
+    tokenizer: Tokenizer,
+    *,
+    kept_keys: DataFrame | None = None,
+    max_tokens: int = fv.SEQUENCE_TOKENS,
+    min_response: int = fv.MIN_RESPONSE_TOKENS,
+) -> DataFrame:
+    """The kept examples with their texts and token counts.
+
+    The cheap checks run again and drop most rows where they are. What only the
+    language job or the cap can tell comes in as ``kept_keys``, the ``(source,
+    ord)`` of kept rows, so that texts are shuffled for likely rows alone.
+    """
+    likely = _with_native_checks(examples, tokenizer).where(
+        F.col("native_ok") & length_ok(max_tokens, min_response)
+    )
+    if kept_keys is not None:
+        keys = ["source", "ord"]
+        likely = likely.join(kept_keys.select(*keys), keys, "left_semi")
+    return likely.drop("native_ok")
 
 
 def cap_per_source(

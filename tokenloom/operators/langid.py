@@ -91,20 +91,21 @@ def identify(
     text: str = "text",
     max_chars: int | None = None,
 ) -> DataFrame:
-    """``(*keys, language)``: the likeliest language; texts without a trigram are left out.
+    """``(*keys, language)``, one row per input row: the likeliest language of its text.
 
-    Weights are looked up where the text is, so a document's trigrams collapse to
-    one row of sums before anything is shuffled.
+    Texts without a trigram get NULL. Weights are looked up where the text is, so a
+    document's trigrams collapse to one row of sums before anything is shuffled.
+    ``keys`` may include further narrow columns that should stay with the row.
     """
-    grams = docs.select(*keys, F.explode(trigrams(F.col(text), max_chars)).alias("tri"))
-    scored = lookup_join(
-        grams, profile.weights, ["tri"], spread_by=F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
-    )
+    grams = docs.select(*keys, F.explode_outer(trigrams(F.col(text), max_chars)).alias("tri"))
+    spread_by = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
+    scored = lookup_join(grams, profile.weights, ["tri"], spread_by=spread_by)
     sums = scored.groupBy(*keys).agg(
+        F.count("tri").alias("n_tri"),
         *[
             F.sum(F.coalesce(F.col(f"w{i}"), F.lit(profile.unseen[l]))).alias(f"s{i}")
             for i, l in enumerate(profile.languages)
-        ]
+        ],
     )
     candidates = F.array(
         *[
@@ -112,4 +113,5 @@ def identify(
             for i, l in enumerate(profile.languages)
         ]
     )
-    return sums.select(*keys, F.array_max(candidates)["lang"].alias("language"))
+    best = F.when(F.col("n_tri") > 0, F.array_max(candidates)["lang"])
+    return sums.select(*keys, best.alias("language"))

@@ -404,10 +404,9 @@ def langid_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix with reasons, kept as a table: statistics, cap and split all read it."""
     profile = langid.train_profile(_documents(spark, sf_dir))
-    chain = filters.with_skip_reason(_mix(spark, sf_dir), BYTES, profile=profile, max_chars=None)
+    mix = _mix(spark, sf_dir)
     return materialise(
-        chain.select("source", "ord", "prompt_len", "response_len", "n_tokens", "skip_reason"),
-        "reasons",
+        filters.skip_reasons(mix, BYTES, profile=profile, max_chars=None), "reasons"
     )
 
 
@@ -472,8 +471,7 @@ padded AS (
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasoned = filters.with_skip_reason(_chat(spark, sf_dir), BYTES)
-    return reasoned.where(F.col("skip_reason").isNull())
+    return filters.kept_examples(_chat(spark, sf_dir), BYTES)
 
 
 def _placed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -813,9 +811,8 @@ UNION ALL SELECT 4, '[' || source || ']  #' || ord || source || '  total=' || (n
 )
 def preview_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, counts and a sample of the whole kept mix as report lines."""
-    kept = _reasoned(spark, sf_dir).where(F.col("skip_reason").isNull()).select("source", "ord")
-    mix = _mix(spark, sf_dir).join(kept, ["source", "ord"])
-    counted = encode.with_token_counts(mix, BYTES).select(
+    kept = _reasoned(spark, sf_dir).where(F.col("skip_reason").isNull())
+    counted = filters.kept_examples(_mix(spark, sf_dir), BYTES, kept_keys=kept).select(
         F.concat(F.col("ord").cast("string"), "source").alias("index"),
         "source",
         tx.py_strip(F.col("instruction")).alias("instruction"),
