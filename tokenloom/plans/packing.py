@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions import fixed_values as fv
 from tokenloom.functions.arrays import digest
 from tokenloom.functions.rates import accumulation_steps
 from tokenloom.operators import pack, windows
-from tokenloom.operators.quality import id_range
-from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
+from tokenloom.operators.quality import id_range, shards_before_gap
+from tokenloom.operators.tokenizers import ByteTokenizer, RankFileTokenizer, with_leading_delimiter
 from tokenloom.plans import sqltext as q
 from tokenloom.plans.catalog import query
 from tokenloom.session import materialise, scratch_path, spread
@@ -50,16 +51,21 @@ def corpus_pack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.shard_summary(pack.shard_pieces(_placed(spark, sf_dir), SHARD))
 
 
-@query(
-    f"""WITH {q.placed(SHARD)},
+FRAGMENTS_SQL = f"""WITH {q.placed(SHARD)},
 t AS (SELECT doc_id, [256] || {q.byte_list('text')} AS toks FROM documents)
 SELECT {q.SPLIT} AS split, shard_id, (lo - shard_id * {SHARD})::BIGINT AS shard_pos, doc_id,
        (hi - lo)::BIGINT AS n_piece,
        {q.md5_list('toks[lo - s + 1 : hi - s]')} AS tokens_md5
 FROM pieces JOIN t USING (doc_id)"""
-)
+
+
+@query(FRAGMENTS_SQL)
 def corpus_pack_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fragments(spark, sf_dir).select(
+    return _fragment_view(_fragments(spark, sf_dir))
+
+
+def _fragment_view(fragments: DataFrame) -> DataFrame:
+    return fragments.select(
         "split",
         "shard_id",
         "shard_pos",
@@ -69,6 +75,18 @@ def corpus_pack_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(FRAGMENTS_SQL)
+def corpus_pack_rank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-pair path over the corpus; ranks of single bytes alone give byte ids."""
+    path = scratch_path(spark, "ranks")
+    token = F.base64(F.to_binary(F.lpad(F.hex("id"), 2, "0"), F.lit("hex")))
+    ranks = spark.range(256).select(F.concat_ws(" ", token, F.col("id").cast("string")))
+    ranks.coalesce(1).write.text(path)
+    bpe = RankFileTokenizer(spark, path)
+    placed = pack.place_documents(_documents(spark, sf_dir).select("doc_id", "text"), bpe)
+    return _fragment_view(pack.shard_fragments(placed, bpe, SHARD))
+
+
 @query(
     f"""WITH {q.placed(SHARD)}
 SELECT {q.SPLIT} AS split, shard_id, count(*) AS n_pieces, sum(hi - lo)::BIGINT AS n_tokens,
@@ -201,6 +219,63 @@ def window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {q.placed(SHARD)},{q.windows(SHARD, WINDOW)},{q.stream_tokens(SHARD)},{q.window_lists(SHARD, WINDOW)},
+b AS ({_batch_sql('train', "md5('1338-0-' || shard_id || '-' || win)", 0)})
+SELECT rank, batch_id, slot, {q.md5_list(f'toks[1:{WINDOW}]')} AS x_md5,
+       {q.md5_list(f'toks[2:{WINDOW + 1}]')} AS y_md5
+FROM b JOIN wins ON wins.shard_id = b.shard_id AND wins.win * {WINDOW} = b.start"""
+)
+def window_batches_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of the first training epoch after a reset, with their inputs and targets."""
+    fragments = materialise(_fragments(spark, sf_dir), "fragments")
+    lengths = windows.shard_lengths(fragments)
+    index = materialise(windows.window_index(lengths, WINDOW), "windows")
+    seed = windows.next_seed(fv.SERVE_SEED, "train")
+    order = windows.served_order(index, ("shard_id", "win"), "train", seed=seed)
+    order = windows.with_total(order, index.where(F.col("split") == "train"))
+    served = windows.batches(order, BATCH, WORLD, "n_rows")
+    rows = windows.window_tokens(fragments.where(F.col("split") == "train"), WINDOW)
+    pairs = windows.shifted_pair(
+        rows.join(served.drop("start", "perm_pos", "n_rows"), ["split", "shard_id", "win"])
+    )
+    return pairs.select(
+        F.col("rank").cast("bigint").alias("rank"),
+        "batch_id",
+        F.col("slot").cast("bigint").alias("slot"),
+        digest(F.col("x")).alias("x_md5"),
+        digest(F.col("y")).alias("y_md5"),
+    )
+
+
+@query(
+    f"""WITH {q.placed(SHARD)},
+kept AS (SELECT DISTINCT {q.SPLIT} AS split, shard_id FROM pieces WHERE shard_id % 6 <> 5),
+firsts AS (SELECT split, min(shard_id) AS f FROM kept GROUP BY 1),
+numbered AS (SELECT split, shard_id - f AS shard_id FROM kept JOIN firsts USING (split)),
+runs AS (SELECT split, shard_id, row_number() OVER (PARTITION BY split ORDER BY shard_id) - 1 AS k FROM numbered)
+SELECT split, count(*) AS n_shards, max(shard_id)::BIGINT AS last_shard,
+       count(*) FILTER (k = shard_id) AS n_before_gap FROM runs GROUP BY 1"""
+)
+def shard_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth shard is left out on purpose; numbers restart at 0 in each split."""
+    pieces = pack.shard_pieces(_placed(spark, sf_dir), SHARD)
+    kept = materialise(
+        pieces.where(F.col("shard_id") % 6 != 5).select("split", "shard_id").distinct(), "kept-shards"
+    )
+    firsts = kept.groupBy("split").agg(F.min("shard_id").alias("first"))
+    numbered = kept.join(firsts, "split").select(
+        "split", (F.col("shard_id") - F.col("first")).alias("shard_id")
+    )
+    whole = numbered.groupBy("split").agg(
+        F.count_distinct("shard_id").alias("n_shards"), F.max("shard_id").alias("last_shard")
+    )
+    before = (
+        shards_before_gap(numbered).groupBy("split").agg(F.count(F.lit(1)).alias("n_before_gap"))
+    )
+    return whole.join(before, "split")
+
+
 SCHEDULE_SQL = f"""
 n AS (SELECT split, count(*) AS n_rows FROM idx GROUP BY 1),
 r AS (SELECT split, n_rows, unnest(range({WORLD})) AS rank FROM n),

@@ -81,7 +81,7 @@ def _items_view(items: DataFrame) -> DataFrame:
 
 
 COMPLETION_SQL = """
-items AS (SELECT 'hellaswag' AS bench, item_id::VARCHAR AS item_id, NULL AS subject, question AS ctx,
+items AS (SELECT 'hellaswag' AS bench, item_id::VARCHAR AS item_id, NULL::VARCHAR AS subject, question AS ctx,
                  [' ' || a, ' ' || b, ' ' || c, ' ' || d] AS candidates, item_id % 4 AS label FROM four)"""
 VIEW_SQL = """SELECT bench, item_id, subject, md5(ctx) AS ctx_md5,
        md5(array_to_string(candidates, chr(31))) AS candidates_md5, label FROM items"""
@@ -148,7 +148,7 @@ rows AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN ['A', 'B', 'C', 'D'] ELSE ['1'
                 (['B', '3', '2', 'Z', 'E'])[(item_id % 5)::INT + 1] AS key,
                 ([1, 2, 1, 0, 4])[(item_id % 5)::INT + 1] AS fallback FROM four),
 items AS (
-  SELECT 'arc' AS bench, 'Q' || item_id AS item_id, NULL AS subject,
+  SELECT 'arc' AS bench, 'Q' || item_id AS item_id, NULL::VARCHAR AS subject,
          question || chr(10) || labels[1] || '. ' || a || chr(10) || labels[2] || '. ' || b || chr(10) ||
          labels[3] || '. ' || c || chr(10) || labels[4] || '. ' || d || chr(10) || 'Answer:' AS ctx,
          [' ' || labels[1] || '. ' || a, ' ' || labels[2] || '. ' || b, ' ' || labels[3] || '. ' || c,
@@ -246,7 +246,7 @@ steps AS (SELECT item_id, cand_idx, unnest(toks[:-2]) AS prev, unnest(toks[2:])
 scored AS (SELECT item_id, cand_idx, sum(loss * m) / sum(m) AS avg_loss FROM {_loss_sql('steps')} GROUP BY 1, 2)"""
 
 
-@query(f"WITH {COUNTS_SQL} SELECT prev, next, n FROM pc")
+@query(f"WITH {COUNTS_SQL} SELECT prev::BIGINT AS prev, next::BIGINT AS next, n FROM pc")
 def next_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus_counts(spark, sf_dir).select(
         F.col("prev").cast("bigint").alias("prev"), F.col("next").cast("bigint").alias("next"), "n"
