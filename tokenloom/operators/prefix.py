@@ -22,20 +22,35 @@ from pyspark.sql import functions as F
 
 from tokenloom.session import default_buckets
 
+KEYS_PER_BUCKET = 100
+
 _VALUE, _BUCKET, _BODY, _TOTAL = "_rt_value", "_rt_bucket", "_rt_body", "_rt_total"
 
 
+def _constant_array(values: Sequence[float], element: str) -> Column:
+    """Many numbers as one text literal, which Spark folds into a constant array."""
+    text = ",".join(str(v) for v in values)
+    return F.split(F.lit(text), ",").cast(f"array<{element}>")
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """Upper bounds that cut an integer key into buckets of similar row counts.
 
-    One aggregate over the key column; only ``buckets - 1`` numbers reach the
-    driver, as with Spark's own range partitioner.
+    Works on the key column alone, and on a sample of it once there are far more
+    rows than buckets, as Spark's own range partitioner does. The bounds decide how
+    even the buckets are, never what the result is. ``buckets - 1`` numbers reach
+    the driver.
     """
     if buckets <= 1:
         return []
-    shares = [i / buckets for i in range(1, buckets)]
-    cut = F.percentile_approx(key, shares, max(10_000, 20 * buckets))
-    found = df.agg(cut.alias("bounds")).first()["bounds"]
+    keys = df.select(key)
+    enough = KEYS_PER_BUCKET * buckets
+    n = keys.count()
+    if n > 2 * enough:
+        keys = keys.sample(enough / n, seed=0)
+    shares = _constant_array([i / buckets for i in range(1, buckets)], "double")
+    cut = F.percentile_approx(key, shares, max(10_000, 4 * buckets))
+    found = keys.agg(cut.alias("bounds")).first()["bounds"]
     return sorted(set(found or []))
 
 
@@ -43,8 +58,7 @@ def range_bucket(key: Column, bounds: Sequence[int]) -> Column:
     """Bucket of an integer key: binary search in the bounds, log2 steps per row."""
     if not bounds:
         return F.lit(0)
-    # One text literal, folded into a constant array: thousands of bounds stay one expression.
-    sorted_bounds = F.split(F.lit(",".join(str(b) for b in bounds)), ",").cast("array<bigint>")
+    sorted_bounds = _constant_array(bounds, "bigint")
     halvings = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     jumps = F.array(*[F.lit(j) for j in halvings])
 

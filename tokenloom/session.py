@@ -67,18 +67,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 65_536
+BUCKET_BYTES = 128 * 1024 * 1024
+MAX_BUCKETS = 131_072
 
 
 def default_buckets(df: DataFrame) -> int:
     """Number of ordered buckets for a running total over ``df``.
 
-    The session's shuffle width, or more when the tables read are so large that a
-    bucket would hold over 256 MB of them.
+    One for every 128 MB of the tables read. A small input gets as many buckets as
+    there are cores, or the session's shuffle width if that is less.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, width, min(MAX_BUCKETS, _input_bytes(df) // BUCKET_BYTES))
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = min(width, spark.sparkContext.defaultParallelism)
+    return max(1, few, min(MAX_BUCKETS, _input_bytes(df) // BUCKET_BYTES))
 
 
 def _input_bytes(df: DataFrame) -> int:
