@@ -181,3 +181,47 @@ def test_language_stage_rejects(spark):
     )
     got = filters.skip_reasons(df, BYTES, profile=langid.train_profile(train))
     assert {r["ord"]: r["skip_reason"] for r in got.collect()} == {0: None, 1: "lang", 2: "fmt"}
+
+
+def test_metadata_and_preview(spark, tmp_path):
+    rows = [("s", i, None if i % 2 else "lang") for i in range(4)] + [("t", 0, None)]
+    reasons = spark.createDataFrame(rows, "source string, ord bigint, skip_reason string")
+    kept = reasons.where("skip_reason IS NULL").select("source", "ord")
+    placed = split.row_shards(split.holdout_split(kept, ["source", "ord"]), ["source", "ord"])
+    path = str(tmp_path / "meta")
+    reports.write_metadata(reports.mix_metadata(filters.skip_stats(reasons), placed, 1.26), path)
+    stored = reports.read_metadata(spark, path)
+    r = stored.first()
+    assert r["datasets_used"] == ["s", "t"] and r["total_elapsed_s"] == 1.3
+    assert r["per_dataset_stats"]["s"]["kept"] == 2
+    assert (r["train"]["examples"], r["val"]["examples"], r["val"]["shards"]) == (2, 1, 1)
+    table = spark.createDataFrame(
+        [(0, "s", "i", "c", "r", 3, 1, 3), (1, "t", "i2", "", "r2", 5, 2, 4)],
+        "index bigint, source string, instruction string, input string, response string, "
+        "total_tokens int, prompt_tokens int, response_tokens int",
+    )
+    lines = reports.preview_lines(table, 1, stored).collect()
+    assert sorted({x["section"] for x in lines}) == [1, 2, 3, 4]
+    sample = [x["line"] for x in lines if x["section"] == 4 and x["part"].startswith("s")][0]
+    assert sample == (
+        "[s]  #0  total=3 tok  (prompt=1 | response=3)\nINSTRUCTION:\ni\n\nINPUT:\nc\n\nRESPONSE:\nr"
+    )
+
+
+def test_chain_with_a_python_tokenizer(spark, tmp_path):
+    import base64
+
+    from tokenloom.operators.tokenizers import RankFileTokenizer
+
+    ranks = tmp_path / "r.txt"
+    ranks.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)))
+    bpe = RankFileTokenizer(spark, str(ranks))
+    text = "the cat and the dog are in the house and the garden"
+    df = spark.createDataFrame([(0, "the dog", "", text, "s"), (1, "Ж", "", text, "s")], SCHEMA)
+    profile = langid.train_profile(spark.createDataFrame([("en", text)], "lang string, text string"))
+    reasons = filters.skip_reasons(df, bpe, profile=profile)
+    assert {r["ord"]: r["skip_reason"] for r in reasons.collect()} == {0: None, 1: "lang"}
+    kept = filters.kept_examples(df, bpe, kept_keys=reasons.where("skip_reason IS NULL"))
+    one = encode.encode_examples(kept, bpe).first()
+    same = encode.encode_examples(filters.kept_examples(df, BYTES), BYTES).first()
+    assert one["tokens"] == same["tokens"] and one["mask"] == same["mask"]
