@@ -77,6 +77,18 @@ def test_hash_bucket_keeps_the_order(spark):
     assert buckets == sorted(buckets) and set(buckets) == set(range(13))
 
 
+def test_stored_sizes_and_null_texts(spark):
+    rows = [(0, "ab", 3), (1, None, 1), (2, "c", 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint")
+    by_size = pack.place_documents(df, BYTES, n_tokens=F.col("n"))
+    plain = pack.place_documents(df.drop("n"), BYTES)
+    want = {0: 0, 1: 3, 2: 4}
+    assert {r["doc_id"]: r["start"] for r in by_size.collect()} == want
+    assert {r["doc_id"]: r["start"] for r in plain.collect()} == want
+    pieces = pack.shard_fragments(plain, BYTES, 100).orderBy("doc_id").collect()
+    assert [r["tokens"] for r in pieces] == [[256, 97, 98], [256], [256, 99]]
+
+
 def test_known_packing(spark):
     """Documents of 4, 6, 7 and 1 tokens in shards of 10, and one of 25 over three shards."""
     df = docs(spark, ["abc", "abcde", "abcdef", ""])

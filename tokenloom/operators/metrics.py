@@ -5,7 +5,7 @@ Long layout: ``(run, stream, step, value)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
@@ -104,19 +104,12 @@ def run_speed(log: DataFrame, tokens: int, parameters: int, world: int) -> DataF
 def rounded_log(log: DataFrame) -> DataFrame:
     """Text form of a log row: fixed digits per column, empty where nothing was measured."""
 
-    def text(name: str):
+    def text(name: str) -> Column:
+        if name not in fv.LOG_FORMATS:
+            return F.col(name).cast("string")
         digits, scientific = fv.LOG_FORMATS[name]
-        return F.coalesce(
-            F.format_string(f"%.{digits}{'e' if scientific else 'f'}", F.col(name).cast("double"))
-            if name not in ("step",)
-            else F.col(name).cast("string"),
-            F.lit(""),
-        )
+        pattern = f"%.{digits}{'e' if scientific else 'f'}"
+        written = F.format_string(pattern, F.col(name).cast("double"))
+        return F.when(F.col(name).isNotNull(), written).otherwise("")
 
-    columns = [
-        F.col(c).cast("string").alias(c)
-        if c not in fv.LOG_FORMATS
-        else F.when(F.col(c).isNotNull(), text(c)).otherwise("").alias(c)
-        for c in log.columns
-    ]
-    return log.select(*columns)
+    return log.select(*[text(name).alias(name) for name in log.columns])

@@ -25,14 +25,20 @@ def place_documents(
     *,
     order: str = "doc_id",
     text: str = "text",
+    n_tokens: Column | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Add ``n_tokens``, ``start`` (position of the delimiter in the stream) and ``stream_tokens``.
 
     Only the text is shuffled; its token array, several times larger, is made
     afterwards. A tokenizer that needs Python runs once, and its output is kept.
+    Pass ``n_tokens`` (delimiter included) when the table stores it: the pass that
+    sums sizes then reads that column instead of the texts. A NULL text is empty.
     """
-    if tokenizer.native:
+    docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    if tokenizer.native and n_tokens is not None:
+        sized = docs.withColumn("n_tokens", n_tokens)
+    elif tokenizer.native:
         sized = docs.withColumn("n_tokens", tokenizer.count(F.col(text)) + 1)
     else:
         sized = materialise(tokenise_corpus(docs, tokenizer, text).drop(text), "tokenised")

@@ -50,45 +50,49 @@ def _messages(roles: list[str], role: str = "role", content: str = "content") ->
     )
 
 
-def _raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _from_document(name: str) -> list[Column]:
+    """Columns of one raw layout, made from a document."""
+    text, first, second = F.col("text"), F.get(_lines(), F.lit(0)), F.get(_lines(), F.lit(1))
+    if name == "dolly":
+        return [first.alias("instruction"), F.col("lang").alias("context"), text.alias("response")]
+    if name == "smol-smoltalk":
+        return [_messages(ROLES).alias("messages")]
+    if name == "tulu3":
+        return [_messages(OPENING_ROLES).alias("messages")]
+    if name == "guanaco":
+        marked = F.transform(_lines(), lambda x, i: F.concat(_speaker(MARKS, i), x))
+        return [F.array_join(marked, "").alias("text")]
+    if name == "openorca":
+        return [second.alias("instruction"), first.alias("system"), text.alias("response")]
+    if name == "slimorca":
+        return [_messages(CHAT_ROLES, "from", "value").alias("conversations")]
+    if name == "lmsys-chat":
+        language = F.when(F.col("lang") == "en", F.lit("English")).otherwise(F.lit("Other"))
+        return [_messages(ROLES).alias("conversation"), language.alias("language")]
+    return [first.alias("instruction"), second.alias("input"), text.alias("output")]
+
+
+def _from_item(name: str) -> list[Column]:
+    """Columns of one raw layout, made from a benchmark item."""
+    text = F.col("text")
+    if name == "gsm8k":
+        return [text.alias("question"), text.alias("answer")]
+    return [text.alias("instruction"), F.lit(None).cast("string").alias("input"), text.alias("output")]
+
+
+FROM_ITEMS = ("alpaca", "gsm8k")
+
+
+def _raw_sources(
+    spark: SparkSession, sf_dir: str, names: list[str] | None = None
+) -> dict[str, DataFrame]:
     docs = _documents(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark")
-    ord_ = F.col("doc_id").alias("ord")
-    first, second = F.get(_lines(), F.lit(0)), F.get(_lines(), F.lit(1))
-    item_ord, item_text = F.col("item_id").alias("ord"), F.col("text")
     return {
-        "dolly": docs.select(
-            ord_, first.alias("instruction"), F.col("lang").alias("context"), F.col("text").alias("response")
-        ),
-        "alpaca": items.select(
-            item_ord,
-            item_text.alias("instruction"),
-            F.lit(None).cast("string").alias("input"),
-            item_text.alias("output"),
-        ),
-        "smol-smoltalk": docs.select(ord_, _messages(ROLES).alias("messages")),
-        "tulu3": docs.select(ord_, _messages(OPENING_ROLES).alias("messages")),
-        "guanaco": docs.select(
-            ord_,
-            F.array_join(
-                F.transform(_lines(), lambda x, i: F.concat(_speaker(MARKS, i), x)), ""
-            ).alias("text"),
-        ),
-        "openorca": docs.select(
-            ord_, second.alias("instruction"), first.alias("system"), F.col("text").alias("response")
-        ),
-        "slimorca": docs.select(
-            ord_, _messages(CHAT_ROLES, "from", "value").alias("conversations")
-        ),
-        "gsm8k": items.select(item_ord, item_text.alias("question"), item_text.alias("answer")),
-        "lmsys-chat": docs.select(
-            ord_,
-            _messages(ROLES).alias("conversation"),
-            F.when(F.col("lang") == "en", F.lit("English")).otherwise(F.lit("Other")).alias("language"),
-        ),
-        "open-platypus": docs.select(
-            ord_, first.alias("instruction"), second.alias("input"), F.col("text").alias("output")
-        ),
+        name: items.select(F.col("item_id").alias("ord"), *_from_item(name))
+        if name in FROM_ITEMS
+        else docs.select(F.col("doc_id").alias("ord"), *_from_document(name))
+        for name in names or registry.source_names()
     }
 
 
@@ -187,7 +191,7 @@ def _converted(df: DataFrame) -> DataFrame:
 
 def _one_source(name: str, function: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _converted(registry.source(name).converter(_raw_sources(spark, sf_dir)[name]))
+        return _converted(registry.source(name).converter(_raw_sources(spark, sf_dir, [name])[name]))
 
     run.__name__ = function
     query(f"WITH {MIX_SQL} SELECT {CONVERTED} FROM mix WHERE source = '{name}'")(run)
@@ -200,7 +204,7 @@ for _name in registry.source_names():
 
 @query(f"WITH {MIX_SQL} SELECT {CONVERTED} FROM mix WHERE source = 'lmsys-chat'")
 def convert_lmsys_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _raw_sources(spark, sf_dir)["lmsys-chat"]
+    raw = _raw_sources(spark, sf_dir, ["lmsys-chat"])["lmsys-chat"]
     path = scratch_path(spark, "raw-lmsys-chat")
     raw.write.parquet(path)
     return _converted(registry.read_mix(spark, {"lmsys-chat": path}))
