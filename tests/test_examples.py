@@ -225,3 +225,16 @@ def test_chain_with_a_python_tokenizer(spark, tmp_path):
     one = encode.encode_examples(kept, bpe).first()
     same = encode.encode_examples(filters.kept_examples(df, BYTES), BYTES).first()
     assert one["tokens"] == same["tokens"] and one["mask"] == same["mask"]
+
+
+def test_misaligned_rows(spark):
+    keys = "split string, shard_id int, row_id int"
+    tokens = spark.createDataFrame(
+        [("train", 0, i, [1] * n) for i, n in enumerate([3, 3, 2, 3])], f"{keys}, tokens array<int>"
+    )
+    masks = spark.createDataFrame(
+        [("train", 0, 0, [1] * 3), ("train", 0, 1, [1] * 2), ("train", 0, 2, [1] * 2), ("train", 0, 9, [1] * 3)],
+        f"{keys}, mask array<tinyint>",
+    )
+    found = quality.misaligned_rows(tokens, masks, 3).collect()
+    assert sorted(r["row_id"] for r in found) == [1, 2, 3, 9]

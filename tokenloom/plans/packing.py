@@ -250,7 +250,7 @@ def window_batches_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {q.placed(SHARD)},
-kept AS (SELECT DISTINCT {q.SPLIT} AS split, shard_id FROM pieces WHERE shard_id % 6 <> 5),
+kept AS (SELECT {q.SPLIT} AS split, shard_id FROM pieces GROUP BY 1, 2 HAVING count(*) > 35),
 firsts AS (SELECT split, min(shard_id) AS f FROM kept GROUP BY 1),
 numbered AS (SELECT split, shard_id - f AS shard_id FROM kept JOIN firsts USING (split)),
 runs AS (SELECT split, shard_id, row_number() OVER (PARTITION BY split ORDER BY shard_id) - 1 AS k FROM numbered)
@@ -258,10 +258,10 @@ SELECT split, count(*) AS n_shards, max(shard_id)::BIGINT AS last_shard,
        count(*) FILTER (k = shard_id) AS n_before_gap FROM runs GROUP BY 1"""
 )
 def shard_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sixth shard is left out on purpose; numbers restart at 0 in each split."""
-    pieces = pack.shard_pieces(_placed(spark, sf_dir), SHARD)
+    """Shards of few pieces are left out on purpose; numbers restart at 0 in each split."""
+    summary = pack.shard_summary(pack.shard_pieces(_placed(spark, sf_dir), SHARD))
     kept = materialise(
-        pieces.where(F.col("shard_id") % 6 != 5).select("split", "shard_id").distinct(), "kept-shards"
+        summary.where(F.col("n_pieces") > 35).select("split", "shard_id"), "kept-shards"
     )
     firsts = kept.groupBy("split").agg(F.min("shard_id").alias("first"))
     numbered = kept.join(firsts, "split").select(

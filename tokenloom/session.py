@@ -80,10 +80,10 @@ def default_buckets(df: DataFrame) -> int:
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = min(width, spark.sparkContext.defaultParallelism)
-    return max(1, few, min(MAX_BUCKETS, _input_bytes(df) // BUCKET_BYTES))
+    return max(1, few, min(MAX_BUCKETS, input_bytes(df) // BUCKET_BYTES))
 
 
-def _input_bytes(df: DataFrame) -> int:
+def input_bytes(df: DataFrame) -> int:
     """Size of the tables a plan reads, by Spark's estimate; unknown sizes count as 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
