@@ -20,14 +20,13 @@ def next_token_counts(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(prev, next, n)`` over all neighbouring tokens, combined before the shuffle."""
 
     def pairs(t):
-        return F.transform(
-            F.sequence(F.lit(0), F.size(t) - 2),
-            lambda i: F.struct(F.get(t, i).alias("prev"), F.get(t, i + 1).alias("next")),
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.arrays_zip(
+            F.slice(t, F.lit(1), n).alias("prev"), F.slice(t, F.lit(2), n).alias("next")
         )
 
     return (
-        rows.where(F.size(tokens) >= 2)
-        .select(F.inline(let(F.col(tokens), pairs)))
+        rows.select(F.inline(let(F.col(tokens), pairs)).alias("prev", "next"))
         .groupBy("prev", "next")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -67,14 +66,14 @@ def counting_scorer(counts: DataFrame, vocab_size: int, keys: list[str]) -> Scor
 
     def score(rows: DataFrame) -> DataFrame:
         """``(*keys, pos, loss, mask)``; the mask is that of the predicted token."""
-        n = F.size("tokens") - 1
+        n = F.greatest(F.size("tokens") - 1, F.lit(0))
         mask = F.col("mask") if "mask" in rows.columns else F.array_repeat(F.lit(1), F.size("tokens"))
         steps = F.arrays_zip(
             F.slice("tokens", F.lit(1), n).alias("prev"),
             F.slice("tokens", F.lit(2), n).alias("next"),
             F.slice(mask, F.lit(2), n).alias("mask"),
         )
-        stepped = rows.where(n > 0).select(*keys, F.posexplode(steps).alias("pos", "step"))
+        stepped = rows.select(*keys, F.posexplode(steps).alias("pos", "step"))
         flat = stepped.select(*keys, "pos", "step.prev", "step.next", "step.mask")
         return flat.join(F.broadcast(table), "prev", "left").select(
             *keys,
