@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import urlfilter, warc
+from tokenloom.llm import divergence, urlfilter, warc
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -40,3 +40,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url under the rules, and under the model where no rule fits."""
     model = urlfilter.train(urlfilter.labelled_urls(spark))
     return urlfilter.judge(table(spark, sf_dir, "pages"), model)
+
+
+@query(divergence.check_sql())
+def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every whole text, and the verdict by distance to the references."""
+    return divergence.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
