@@ -12,6 +12,7 @@ is a response that nothing refers to. Columns other than the three named ones ar
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -129,11 +130,12 @@ def to_records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write one WARC record per page to archives of bounded size under ``path``."""
+    """Write one WARC record per page to gzip archives of bounded size under ``path``."""
     records = to_records(pages, resolve_revisits(pages, min_bytes))
     (
         records.write.option("lineSep", RECORD_END)
         .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
+        .option("compression", "gzip")
         .text(path)
     )
 
@@ -184,7 +186,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = [_record_row(*r)[:kept] for r in parse_archive(content.as_py())]
+                archive = gzip.decompress(content.as_py())
+                rows = [_record_row(*r)[:kept] for r in parse_archive(archive)]
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays(columns, names[:kept])
