@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenloom.llm import divergence, toxicity, urlfilter, warc
+from tokenloom.llm import divergence, simhash, toxicity, urlfilter, warc
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -55,3 +56,12 @@ def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text by the distance between its two compressed lengths."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every whole text and the component of similar fingerprints it is in."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id"
+    )
