@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import divergence, simhash, toxicity, urlfilter, warc
+from tokenloom.llm import divergence, mixing, simhash, toxicity, urlfilter, warc
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -65,3 +65,9 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+@query()
+def op6_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
