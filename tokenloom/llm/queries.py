@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import divergence, mixing, simhash, toxicity, urlfilter, warc
+from tokenloom.llm import dac, divergence, mixing, simhash, toxicity, urlfilter, warc
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -71,3 +72,11 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query()
+def op3_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids, written in directly addressable codes and read back."""
+    documents = table(spark, sf_dir, "documents")
+    found = dac.round_trip(documents, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
