@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import dac, divergence, mixing, simhash, toxicity, urlfilter, warc
+from tokenloom.llm import dac, divergence, mixing, simhash, toxicity, unigram, urlfilter, warc
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -80,3 +80,10 @@ def op3_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = dac.round_trip(documents, public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op1_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, summed over all segmentations of its words."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return unigram.identify(table(spark, sf_dir, "documents"), vocabulary)
