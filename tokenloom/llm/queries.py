@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import dac, divergence, mixing, simhash, toxicity, unigram, urlfilter, warc
+from tokenloom.llm import bpe, dac, divergence, mixing, simhash, toxicity, unigram, urlfilter, warc
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -87,3 +87,20 @@ def op1_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, summed over all segmentations of its words."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return unigram.identify(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query()
+def op5_folded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as byte-pair ids, and decoded again."""
+    coded = bpe.encode(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
