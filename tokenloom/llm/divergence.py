@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tokenloom.session import materialise
 
@@ -141,10 +142,9 @@ def document_features(docs: DataFrame) -> DataFrame:
     return columns.mapInArrow(compute, f"doc_id long, lang string, {FEATURES}")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
+def base_failed(prefix: str = "") -> Column:
+    words, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
 
 
 def language_references(features: DataFrame) -> list[tuple[str, list[int], list[int]]]:
@@ -191,21 +191,29 @@ def _constant_shares(rows: list[list[int]]) -> Column:
     )
 
 
-def judge(features: DataFrame, references: list[tuple[str, list[int], list[int]]]) -> DataFrame:
-    """Features with ``base_failed``, both distances to the closest reference, and ``kept``."""
-    rows = features.withColumn("base_failed", base_failed())
+def judge(
+    features: DataFrame, references: list[tuple[str, list[int], list[int]]], prefix: str = ""
+) -> DataFrame:
+    """Features with ``base_failed``, both distances to the closest reference, and ``kept``.
+
+    ``prefix`` stands in front of the names of all these columns.
+    """
+    rows = features.withColumn(f"{prefix}base_failed", base_failed(prefix))
     for name, at, out in (("classes", 1, "class_distance"), ("commons", 2, "word_distance")):
         if references:
             shares = _constant_shares([r[at] for r in references])
-            rows = rows.withColumn("_shares", _shares(F.col(name)))
+            rows = rows.withColumn("_shares", _shares(F.col(prefix + name)))
             distance = F.array_min(F.transform(shares, lambda q: js_distance(F.col("_shares"), q)))
-            rows = rows.withColumn(out, distance).drop("_shares")
+            rows = rows.withColumn(prefix + out, distance).drop("_shares")
         else:
-            rows = rows.withColumn(out, F.lit(0.0))
-    chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    class_ok = (chars < MIN_CLASS_CHARS) | (F.col("class_distance") <= MAX_CLASS_DISTANCE)
-    word_ok = (F.col("n_words") < MIN_COMMON_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE)
-    return rows.withColumn("kept", ~F.col("base_failed") & class_ok & word_ok)
+            rows = rows.withColumn(prefix + out, F.lit(0.0))
+    column = lambda name: F.col(prefix + name)
+    chars = F.aggregate(column("classes"), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    class_ok = (chars < MIN_CLASS_CHARS) | (column("class_distance") <= MAX_CLASS_DISTANCE)
+    word_ok = (column("n_words") < MIN_COMMON_WORDS) | (
+        column("word_distance") <= MAX_WORD_DISTANCE
+    )
+    return rows.withColumn(f"{prefix}kept", ~column("base_failed") & class_ok & word_ok)
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -214,6 +222,46 @@ def quality(docs: DataFrame) -> DataFrame:
     return judge(features, language_references(features))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns and no shuffle of texts.
+
+    References come from a first pass over all documents; the second pass judges each row
+    where its text is.
+    """
+    names = {f"_q_{name}": name for name in ("n_words", "n_repeat_words", "classes", "commons")}
+    references = language_references(materialise(document_features(docs), "divergence-features"))
+    schema = StructType(
+        [
+            StructField("_q_n_words", LongType()),
+            StructField("_q_n_repeat_words", LongType()),
+            StructField("_q_classes", ArrayType(LongType())),
+            StructField("_q_commons", ArrayType(LongType())),
+            *docs.schema.fields,
+        ]
+    )
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = [text_features(t.as_py()) for t in batch.column(0)]
+                found = [pa.array([r[i] for r in rows], t) for i, t in _KEPT_FEATURES]
+                yield pa.RecordBatch.from_arrays(
+                    [*found, *batch.columns[1:]], [*names, *batch.schema.names[1:]]
+                )
+
+    wide = docs.select(F.col("text").cast("string").alias("_q_text"), "*")
+    judged = judge(wide.mapInArrow(compute, schema), references, prefix="_q_")
+    return judged.where("_q_kept").select(*docs.columns)
+
+
+_KEPT_FEATURES = (
+    (0, pa.int64()),
+    (4, pa.int64()),
+    (5, pa.list_(pa.int64())),
+    (6, pa.list_(pa.int64())),
+)
+
+
 def check_sql() -> str:
     """The same rows from DuckDB; ``doc_id`` has to be unique there."""
     char_sets = {
