@@ -171,11 +171,14 @@ def predictions(scores: DataFrame) -> DataFrame:
 
 
 def accuracy(predicted: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
-    """Share of right predictions; 0 where there are none."""
-    hit = (F.col("predicted") == F.col("label")).cast("int")
+    """Share of right predictions over all items; 0 where there are none.
+
+    An item without a prediction counts as wrong.
+    """
+    hit = F.coalesce((F.col("predicted") == F.col("label")).cast("int"), F.lit(0))
     return (
         items.select("bench", "item_id", "subject", "label")
-        .join(predicted, ["bench", "item_id"])
+        .join(predicted, ["bench", "item_id"], "left")
         .groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("n_items"),

@@ -13,7 +13,6 @@ from tokenloom.session import materialise
 
 SMOOTHING = 0.5
 VOCABULARY = 20_000
-MAX_LANGUAGES = 500
 
 
 def trigrams(text: Column, max_chars: int | None = None) -> Column:
@@ -58,11 +57,8 @@ def train_profile(
         counts.groupBy("lang")
         .agg(F.sum("n").alias("n"))
         .orderBy("lang")
-        .limit(MAX_LANGUAGES + 1)
         .collect()
     )
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the training labels")
     languages = [row["lang"] for row in totals]
     mass = {row["lang"]: row["n"] + SMOOTHING * VOCABULARY for row in totals}
     weights = (

@@ -13,14 +13,20 @@ from tokenloom.functions.rates import flops_utilisation, learning_rate, throughp
 
 
 def long_from_wide(wide: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """Melt the measured columns; missing columns and empty cells give no rows."""
+    """Melt the measured columns; missing columns and empty cells give no rows.
+
+    Where the log has a ``line_no``, a repeated step keeps its last measured value.
+    """
     names = columns or fv.STREAM_OF_COLUMN
     present = [c for c in names if c in wide.columns]
-    rows = wide.select(
-        "run", "step", *[F.col(c).cast("double").alias(names[c]) for c in present]
-    )
-    melted = rows.unpivot(["run", "step"], [names[c] for c in present], "stream", "value")
-    return melted.where(F.col("value").isNotNull()).select("run", "stream", "step", "value")
+    keys = ["run", "step", *[c for c in ("line_no",) if c in wide.columns]]
+    rows = wide.select(*keys, *[F.col(c).cast("double").alias(names[c]) for c in present])
+    melted = rows.unpivot(keys, [names[c] for c in present], "stream", "value")
+    measured = melted.where(F.col("value").isNotNull())
+    if "line_no" in keys:
+        last = F.max_by("value", "line_no").alias("value")
+        measured = measured.groupBy("run", "stream", "step").agg(last)
+    return measured.select("run", "stream", "step", "value")
 
 
 def long_from_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:

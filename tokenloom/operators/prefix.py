@@ -20,10 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.session import default_buckets, input_bytes
+from tokenloom.session import default_buckets
 
 KEYS_PER_BUCKET = 100
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 _VALUE, _BUCKET, _BODY, _TOTAL = "_rt_value", "_rt_bucket", "_rt_body", "_rt_total"
 
@@ -46,10 +45,9 @@ def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
         return []
     keys = df.select(key)
     enough = KEYS_PER_BUCKET * buckets
-    if not 0 < input_bytes(df) < SMALL_INPUT_BYTES:
-        n = keys.count()
-        if n > 2 * enough:
-            keys = keys.sample(enough / n, seed=0)
+    n = keys.count()
+    if n > 2 * enough:
+        keys = keys.sample(enough / n, seed=0)
     shares = _constant_array([i / buckets for i in range(1, buckets)], "double")
     cut = F.percentile_approx(key, shares, max(10_000, 4 * buckets))
     found = keys.agg(cut.alias("bounds")).first()["bounds"]

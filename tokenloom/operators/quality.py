@@ -63,8 +63,8 @@ def shards_before_gap(rows: DataFrame) -> DataFrame:
         .groupBy("split")
         .agg(F.min("shard_id").alias("_last"))
     )
-    # One row per split.
-    return rows.join(last, "split").where(F.col("shard_id") <= F.col("_last")).drop("_last")
+    # One row for each of the two splits, so that the rows stay where they are.
+    return rows.join(F.broadcast(last), "split").where(F.col("shard_id") <= F.col("_last")).drop("_last")
 
 
 def id_range(rows: DataFrame, ids: str = "tokens", limit: int = fv.TOKEN_ID_LIMIT) -> DataFrame:

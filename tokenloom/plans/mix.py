@@ -410,7 +410,7 @@ def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = langid.train_profile(_documents(spark, sf_dir))
     mix = _mix(spark, sf_dir)
     return materialise(
-        filters.skip_reasons(mix, BYTES, profile=profile, max_chars=None), "reasons"
+        filters.skip_reasons(mix, BYTES, profile=profile), "reasons"
     )
 
 

@@ -90,6 +90,26 @@ def metric_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_runs(spark, paths).withColumn("value", F.round("value", 6))
 
 
+@query(
+    f"""WITH {LONG_SQL} SELECT run, stream, step,
+        round(value + CASE WHEN step >= 50 THEN 1 ELSE 0 END, 6) AS value FROM long"""
+)
+def metric_wide_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resumed run logs the later steps again, its columns in another order; the last row wins."""
+    wide = _wide_log(spark, sf_dir)
+    paths = {}
+    for run in RUNS:
+        paths[run] = scratch_path(spark, run) + ".csv"
+        part = wide.where(F.col("run") == run).drop("run")
+        logs.append_log(part, paths[run])
+        measured = [F.col(c) + 1 if c != "step" else F.col(c) for c in reversed(part.columns)]
+        again = part.where(F.col("step") >= 50).select(
+            *[m.alias(c) for m, c in zip(measured, reversed(part.columns))]
+        )
+        logs.append_log(again, paths[run])
+    return logs.read_runs(spark, paths).withColumn("value", F.round("value", 6))
+
+
 @query(
     f"""SELECT 'all' AS run, {STREAM_CASE} AS stream, event_id // 50 AS step,
        arg_max(value, event_id) AS value FROM events GROUP BY 2, 3"""

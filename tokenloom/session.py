@@ -75,19 +75,22 @@ def default_buckets(df: DataFrame) -> int:
     """Number of ordered buckets for a running total over ``df``.
 
     One for every 128 MB of the tables read. A small input gets as many buckets as
-    there are cores, or the session's shuffle width if that is less.
+    there are cores, or the session's shuffle width if that is less. Where a size is
+    not known, the number of tasks that read the input stands for it.
     """
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = min(width, spark.sparkContext.defaultParallelism)
-    return max(1, few, min(MAX_BUCKETS, input_bytes(df) // BUCKET_BYTES))
+    size = input_bytes(df)
+    wanted = df.rdd.getNumPartitions() if size is None else size // BUCKET_BYTES
+    return max(1, few, min(MAX_BUCKETS, wanted))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, by Spark's estimate; unknown sizes count as 0."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of the tables a plan reads, by Spark's estimate; None if one of them is unknown."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(size for size in sizes if size < 1 << 62)
+    return sum(sizes) if all(size < 1 << 62 for size in sizes) else None
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

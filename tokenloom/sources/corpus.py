@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenloom.operators.lookup import lookup_join
+from tokenloom.session import materialise
+
 CORPUS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 SAMPLE_SIZES = ("10BT", "100BT")
 
@@ -23,13 +26,25 @@ def read_sized_corpus(
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A plain text file as one document each, numbered in path order."""
+    """Plain text files as one document each, numbered in path order."""
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")
     )
-    # Numbers are given to file names only; the texts are joined afterwards.
-    numbered = files.select("file_path").withColumn(
-        "doc_id", (F.row_number().over(Window.orderBy("file_path")) - 1).cast("bigint")
+    # Names alone are sorted, by ranges; the texts are joined afterwards. The ranges are
+    # stored, so that both passes over them see the same ones.
+    ranged = materialise(
+        files.select("file_path")
+        .repartitionByRange("file_path")
+        .withColumn("_range", F.spark_partition_id()),
+        "file-names",
+    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("file_path")) - 1
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(starts), "_range")
+    numbered = numbered.select(
+        "file_path", (F.col("_start") + F.col("_place")).cast("bigint").alias("doc_id")
     )
     return files.join(numbered, "file_path").select("doc_id", "text")
 
@@ -48,8 +63,9 @@ def with_file_ordinal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     counts = located.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # One row per file; the rows of a large file are not sent to one task.
     return (
-        located.join(starts, "_file")
+        lookup_join(located, starts, ["_file"], spread_by=F.col("_row"))
         .withColumn("ord", F.col("_start") + F.col("_row"))
         .drop("_file", "_row", "_start")
     )

@@ -45,7 +45,7 @@ def write_example_shards(placed: DataFrame, tokenizer: Tokenizer, path: str) ->
     """``split=/shard_id=`` folders; tokens, mask and source of an example share one row.
 
     Examples are moved to their shard as text and encoded there. Rows are stored
-    unpadded; padding is added when reading. Sources are labels of at most 30 characters.
+    unpadded; padding is added when reading.
     """
     encoded = encode_examples(placed.repartition("split", "shard_id"), tokenizer)
     (
@@ -53,7 +53,7 @@ def write_example_shards(placed: DataFrame, tokenizer: Tokenizer, path: str) ->
             "split",
             "shard_id",
             "row_id",
-            F.substring("source", 1, 30).alias("source"),
+            "source",
             "prompt_len",
             "n_tokens",
             "tokens",
