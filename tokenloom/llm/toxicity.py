@@ -37,12 +37,20 @@ ORDINARY_BYTES = 8192
 TOXIC_BYTES = 8192
 #: A word is telling when at least so many unrelated toxic documents hold it, and so many
 #: times the share of ordinary documents.
-MIN_TOXIC_DOCS = 4
+MIN_TOXIC_DOCS = 5
 MIN_TOXIC_SHARE = 0.006
 MIN_RATIO = 15.0
+#: Documents that share more of their words than this are kin.
+MAX_KINSHIP = 0.4
 THRESHOLD = 0.7
+#: Toxic documents are the exception, and clean ones are to be left alone.
+TOXIC_PRIOR = 0.15
 FOLDS = 2
 
+#: Windows are counted that save at least so many bytes.
+SAVINGS = (3, 5, 7, 9)
+FIGURES = 3 + 2 * len(SAVINGS)
+
 _STRIP = ".,!?;:\"'()[]%&*$#|<>"
 _COMPRESSION = zstandard.ZstdCompressionParameters(
     window_log=17,
@@ -95,19 +103,18 @@ class Distance:
         """Largest saving, mean of the largest two and three, and how many windows save how much."""
         cut = windows(text or "")
         if not cut:
-            return [0.0] * 6
+            return [0.0] * FIGURES
         n = len(cut)
         plain = np.fromiter(map(len, map(self._plain, cut)), dtype=np.int64, count=n)
         saved = plain - np.fromiter(map(len, map(self._toxic, cut)), dtype=np.int64, count=n)
-        top = np.minimum(np.sort(saved)[::-1], 12)
-        some, much = int((saved >= 3).sum()), int((saved >= 5).sum())
+        top = np.minimum(np.sort(saved)[::-1], 16)
+        counts = [int((saved >= least).sum()) for least in SAVINGS]
         return [
             float(top[0]),
             float(top[:2].mean()),
             float(top[:3].mean()),
-            float(np.log1p(some)),
-            float(np.log1p(much)),
-            some / n,
+            *np.log1p(counts).tolist(),
+            *[c / n for c in counts],
         ]
 
 
@@ -122,23 +129,39 @@ def _kin(text: str) -> int:
     return min(zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in triples)
 
 
+def _unrelated(vocabularies: list[set[str]], wanted: float) -> bool:
+    """Whether at least so many documents hold mostly words of their own."""
+    chosen: list[set[str]] = []
+    for words in vocabularies:
+        if all(len(words & c) <= MAX_KINSHIP * min(len(words), len(c)) for c in chosen):
+            chosen.append(words)
+            if len(chosen) >= wanted:
+                return True
+    return False
+
+
 def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
     """Words that toxic text favours, most telling last, where the compressor finds them first.
 
     Near copies of a document count once.
     """
-    held: tuple[Counter, Counter] = (Counter(), Counter())
-    sizes = []
-    for counter, texts in zip(held, (ordinary, toxic)):
-        one_of_each = list({_kin(t): t for t in texts}.values())
-        sizes.append(max(1, len(one_of_each)))
-        for text in one_of_each:
-            counter.update(_words(text))
+    vocabularies = [
+        [_words(text) for text in {_kin(t): t for t in texts}.values()]
+        for texts in (ordinary, toxic)
+    ]
+    sizes = [max(1, len(v)) for v in vocabularies]
+    held = [Counter(w for words in v for w in words) for v in vocabularies]
     floor = max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * sizes[1])
-    telling = [
-        (n, word)
+    favoured = {
+        word: []
         for word, n in held[1].items()
         if n >= floor and n / sizes[1] > MIN_RATIO * (held[0][word] + 0.5) / sizes[0]
+    }
+    for words in vocabularies[1]:
+        for word in words & favoured.keys():
+            favoured[word].append(words)
+    telling = [
+        (held[1][word], word) for word, found in favoured.items() if _unrelated(found, floor)
     ]
     content = b""
     for _, word in sorted(telling, reverse=True):
@@ -158,10 +181,12 @@ def ordinary_content(ordinary: list[str]) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
-    """Logistic regression of the figures, each class with half of the weight."""
+    """Logistic regression of the figures, with ``TOXIC_PRIOR`` as the share of toxic documents."""
     scale = np.maximum(x.std(axis=0), 1e-9)
     z = (x - x.mean(axis=0)) / scale
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = np.where(
+        y == 1, TOXIC_PRIOR / max(1, (y == 1).sum()), (1 - TOXIC_PRIOR) / max(1, (y == 0).sum())
+    )
     z1 = np.hstack([z, np.ones((len(z), 1))])
     ridge = np.diag([1e-4] * x.shape[1] + [1e-9])
     w1 = np.zeros(x.shape[1] + 1)
@@ -189,7 +214,7 @@ def train(rows: list[tuple[int, str, int]]) -> ToxicityModel | None:
         return None
     # Near copies fall into the same half.
     fold = [_kin(t) % FOLDS for _, t, _ in rows]
-    figures = np.zeros((len(rows), 6))
+    figures = np.zeros((len(rows), FIGURES))
     for k in range(FOLDS):
         distance = Distance(*contents([r for r, f in zip(rows, fold) if f != k]))
         for i, (_, text, _) in enumerate(rows):
