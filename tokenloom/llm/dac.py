@@ -22,6 +22,8 @@ texts. An empty table gives no segment. Columns other than id and text are ignor
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,7 +41,9 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 BUCKET_ROWS = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+#: Without the apostrophe, which can belong to a contraction.
+PUNCTUATION = "".join(c for c in string.punctuation if c != "'")
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -142,31 +146,70 @@ Tokenise = Callable[[list[str]], list[bytes]]
 class WordTokenizer:
     """Whole texts through a ``tokenizers`` file, word by word.
 
-    For a tokenizer that never joins anything across white space: a text's ids are those
-    of its space-separated pieces in order, so a piece that was seen before is not
-    tokenised again. Pieces are cut at plain spaces and line ends alone. The bounded table
-    of known pieces is started anew when it is full.
+    For a tokenizer that lower-cases, cuts punctuation off letters and never joins anything
+    across white space: a text's ids are those of its space-separated pieces in order, and a
+    piece's are those of its word and of the ASCII punctuation behind it. Pieces are cut at
+    plain spaces and line ends alone. New words of letters are tokenised many at a time and
+    told apart by the tokens that end a word. The table of known pieces is bounded; what was
+    used since it last filled up stays in it.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, cached: int = CACHED_WORDS):
+        # Spark has a worker for every core; threads of its own would only get in their way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        size = self._tokenizer.get_vocab_size()
+        names = (self._tokenizer.id_to_token(i) or "" for i in range(size))
+        self._ends_word = np.array([name.endswith("</w>") for name in names])
         self._end = np.array([end_id], dtype="<u4").tobytes()
         self._cached = cached
         self._known: dict[str, bytes] = {}
+        self._earlier: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        rest = list(set(words).difference(letters))
+        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(ends) == len(group):
+                for word, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
+                    self._known[word] = ids[a:b].tobytes()
+            else:
+                rest += group
+        for word, ids in zip(rest, self._encode(rest)):
+            self._known[word] = ids.tobytes()
+
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """A piece's word and the ASCII punctuation behind it, if they can be told apart."""
+        word = piece.rstrip(PUNCTUATION)
+        if not word or not word[-1].isalpha():
+            word = piece
+        return (word.lower() if word.isascii() else word), piece[len(word) :]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, with the end id, as little-endian 32-bit integers."""
         if len(self._known) > self._cached:
-            self._known = {}
+            self._known, self._earlier = {}, self._known
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for words in pieces for p in words if p not in self._known})
-        encoded = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for piece, e in zip(new, encoded):
-            self._known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        find = self._known.__getitem__
+        known = self._known
+        new = set().union(*pieces).difference(known)
+        for piece in [p for p in new if p in self._earlier]:
+            known[piece] = self._earlier[piece]
+            new.discard(piece)
+        parts = {piece: self._parts(piece) for piece in new}
+        unknown = {part for pair in parts.values() for part in pair}.difference(known)
+        self._learn(sorted(unknown))
+        for piece, (word, tail) in parts.items():
+            known[piece] = known[word] + known[tail]
+        find = known.__getitem__
         return [b"".join(map(find, words)) + self._end for words in pieces]
 
 
