@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.arrays import let
 from tokenloom.functions.rates import cross_entropy
+from tokenloom.operators.lookup import lookup_join
 
 # A scorer takes rows with ``tokens`` and adds ``losses``: one number per position
 # except the last, each predicting the next token. A neural model plugs in here as
@@ -32,36 +33,13 @@ def next_token_counts(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def next_token_losses(counts: DataFrame, vocab_size: int) -> DataFrame:
-    """``(prev, row)``: add-one smoothed losses of every next token, one array per context.
-
-    At most ``vocab_size`` rows of ``vocab_size`` numbers.
-    """
-    totals = counts.groupBy("prev").agg(
-        F.sum("n").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("seen"),
-    )
-    return totals.select(
-        "prev",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(vocab_size - 1)),
-            lambda t: -F.ln(
-                (F.coalesce(F.try_element_at("seen", t), F.lit(0)) + F.lit(1.0))
-                / (F.col("total") + F.lit(float(vocab_size)))
-            ),
-        ).alias("row"),
-    )
-
-
 def counting_scorer(counts: DataFrame, vocab_size: int, keys: list[str]) -> Scorer:
     """A scorer from next-token counts, so that evaluation runs without a neural model.
 
-    For small vocabularies only: its table has ``vocab_size`` squared entries,
-    which is also what bounds the broadcast.
+    Add-one smoothed. Its tables have a row for every pair and every first token that
+    occur, for a vocabulary of any size; small ones are broadcast behind a size check.
     """
-    if vocab_size > 1024:
-        raise ValueError("the counting scorer is meant for vocabularies of at most 1024 ids")
-    table = next_token_losses(counts, vocab_size)
+    totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
     unseen = F.ln(F.lit(float(vocab_size)))
 
     def score(rows: DataFrame) -> DataFrame:
@@ -75,12 +53,12 @@ def counting_scorer(counts: DataFrame, vocab_size: int, keys: list[str]) -> Scor
         )
         stepped = rows.select(*keys, F.posexplode(steps).alias("pos", "step"))
         flat = stepped.select(*keys, "pos", "step.prev", "step.next", "step.mask")
-        return flat.join(F.broadcast(table), "prev", "left").select(
-            *keys,
-            "pos",
-            F.coalesce(F.get("row", F.col("next")), unseen).alias("loss"),
-            "mask",
-        )
+        spread_by = F.xxhash64(*keys, "pos")
+        found = lookup_join(flat, counts, ["prev", "next"], spread_by=spread_by)
+        found = lookup_join(found, totals, ["prev"], spread_by=spread_by)
+        seen = F.coalesce(F.col("n"), F.lit(0)) + F.lit(1.0)
+        loss = -F.ln(seen / (F.col("total") + F.lit(float(vocab_size))))
+        return found.select(*keys, "pos", F.coalesce(loss, unseen).alias("loss"), "mask")
 
     return score
 
