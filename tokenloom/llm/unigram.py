@@ -59,19 +59,24 @@ class Pieces:
         found |= {bytes([b]) for b in range(256)}
         self.number = {p: i for i, p in enumerate(sorted(found))}
         self.length = np.array([len(p) for p in sorted(found)])
+        # Beginnings of pieces that are none themselves end no edge, but no search either.
+        begun = {p[:n] for p in found for n in range(1, len(p))}
+        self._search = dict.fromkeys(begun, -1) | self.number
 
     def __len__(self) -> int:
         return len(self.number)
 
     def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, start, end and piece of every piece that occurs in a word, by ends."""
-        find, out = self.number.get, []
+        find, out = self._search.get, []
         for w, word in enumerate(words):
             n = len(word)
             for start in range(n):
-                for end in range(start + 1, min(n, start + MAX_PIECE) + 1):
+                for end in range(start + 1, n + 1):
                     piece = find(word[start:end])
-                    if piece is not None:
+                    if piece is None:
+                        break
+                    if piece >= 0:
                         out.append((w, start, end, piece))
         found = np.array(out, dtype=np.int64).reshape(-1, 4)
         found = found[np.argsort(found[:, 2], kind="stable")]
