@@ -34,7 +34,7 @@ def test_repeated_words_counts_covered_positions():
 
 
 def test_odd_rows(spark):
-    clean = " ".join(f"the house{i} and of a garden{i} in the town{i} is small{i}." for i in range(30))
+    clean = " ".join(f"the house{i} and of a garden{i} in the town{i} is small{i}." for i in range(60))
     junk = " ".join(f"Wo%%%{i} ti&&&{i} he***{i} an$$${i}" for i in range(60))
     texts = [None, "", "\n\n", "word " * 100, clean, clean, junk, "dup\nline\ndup\n \n \n", "x" * 200_000]
     rows = [(i, t, None if t == junk else "en", "s", 1, True) for i, t in enumerate(texts)] + [(None, clean, None, None, 0, False)]

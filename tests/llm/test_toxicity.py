@@ -50,6 +50,6 @@ def test_without_labels_of_both_classes(spark):
 
 def test_near_copies_teach_once():
     copies = [f"same words here in a long enough text marker{i % 2}" for i in range(50)]
-    others = [f"quite different text number {i} with badword inside" for i in range(9)]
+    others = [" ".join(f"own{i}x{j}" for j in range(8)) + " badword" for i in range(9)]
     content = toxicity.toxic_content(copies + others, [f"calm text {i}" for i in range(40)])
     assert b" badword " in content and b"marker" not in content
