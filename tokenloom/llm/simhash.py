@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.components import connected
+from tokenloom.llm.shingles import near_copies
 from tokenloom.session import materialise
 
 MAX_BITS = 2
@@ -198,12 +199,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: the one of the smallest id.
+    """One document of each component of near copies, with all its columns: the smallest id.
 
-    Of rows that share that id one stays. Rows without an id are not compared and all stay.
+    Near copies have five-word shingles of similarity 0.8 or more; fingerprints within two
+    bits, the contract of ``near_duplicates``, find next to none of them. Of rows that share that id one stays. Rows without an id are not compared and all stay.
     """
     known = docs.where(F.col("doc_id").isNotNull())
-    classes = near_duplicates(known.select("doc_id", "text"))
+    classes = near_copies(known.select("doc_id", "text"))
     keepers = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
     held = known.join(
         keepers.distinct(), known["doc_id"].cast("long") == F.col("_kept_id"), "left_semi"
