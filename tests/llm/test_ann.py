@@ -66,3 +66,20 @@ def test_graph_search_finds_near_centroids():
     full = np.linalg.norm(sample[:200, None] - index.centroids, axis=2)
     assert np.mean(ids[:, 0] == full.argmin(axis=1)) > 0.95
     assert np.allclose(dist[:, 0], np.take_along_axis(full, ids[:, :1], 1)[:, 0])
+
+
+def test_searched_share_does_not_shrink_with_the_table():
+    """Lists of the true neighbours are visited among 200,000 vectors, not in a small table alone."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(10, 1, 64)) + 1.5 * rng.normal(size=(10, 20_000, 64))
+    vectors = ann.unit(vectors.reshape(-1, 64))
+    chosen = rng.permutation(len(vectors))
+    index = ann.ListIndex(vectors[chosen[: ann.FIT_VECTORS]], len(vectors))
+    queries = vectors[chosen[:100]]
+    true = np.argsort(-queries @ vectors.T, axis=1)[:, 1:6]
+    posted = index.lists_of(vectors[true.ravel()], ann.REPLICAS, ann.REPLICA_RATIO)
+    probed = index.lists_of(queries, ann.PROBES, ann.PROBE_RATIO, ann.WIDE_RATIO)
+    hits = [np.intersect1d(lists, probed[i // 5]).size > 0 for i, lists in enumerate(posted)]
+    assert np.mean(hits) >= 0.9
+    narrow = index.lists_of(queries, ann.PROBES, ann.PROBE_RATIO)
+    assert all(np.isin(n, p).all() for n, p in zip(narrow, probed))
