@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, bpe, dac, divergence, mixing, simhash, toxicity, unigram, urlfilter, warc
+from tokenloom.llm import (
+    ann,
+    bpe,
+    dac,
+    divergence,
+    mixing,
+    negatives,
+    simhash,
+    toxicity,
+    unigram,
+    urlfilter,
+    warc,
+)
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -111,3 +123,11 @@ def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth one, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query(negatives.check_sql())
+def op11_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every fiftieth vector, in the windows that its best same-label rows open."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
