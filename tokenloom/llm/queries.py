@@ -13,6 +13,7 @@ from tokenloom.llm import (
     divergence,
     mixing,
     negatives,
+    phrases,
     simhash,
     toxicity,
     unigram,
@@ -131,3 +132,9 @@ def op11_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query(phrases.check_sql())
+def op12_shard_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to five words of every language, counted over all texts."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
