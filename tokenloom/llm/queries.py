@@ -19,6 +19,7 @@ from tokenloom.llm import (
     unigram,
     urlfilter,
     warc,
+    wrappers,
 )
 from tokenloom.llm.registry import CHECKS, QUERIES, query, table
 
@@ -138,3 +139,9 @@ def op11_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_shard_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of two to five words of every language, counted over all texts."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the wrapper inferred from all pages of its host."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
