@@ -4,7 +4,7 @@ Texts of one language are dealt to shards that fit in a worker's memory. Every s
 completely, for phrases whose local count reaches the global support lowered in proportion
 to the shard's bytes: a phrase below its local support in every shard cannot reach the
 support in all. The union of what is locally frequent is then counted exactly in a second
-pass over all texts. Counts, cuts and scores are plain joins and aggregates afterwards.
+pass over the same shards. Counts, cuts and scores are plain joins and aggregates afterwards.
 
 Candidates reach the counting pass as a broadcast trie of at most ``BATCH_PHRASES`` phrases;
 more of them are counted in further passes, split by their first two words. A shard that
@@ -142,11 +142,8 @@ def _pieces(
         yield length, [b" ".join([names[i] for i in row]) for row in rows], counts[at : at + EMIT_ROWS]
 
 
-def mine_shards(docs: DataFrame, support: int, shard_bytes: int) -> DataFrame:
-    """``(lang, phrase, words, count)`` from every shard: all words, and what is frequent there.
-
-    ``count`` is the count in the shard, so sums over shards are exact for single words only.
-    """
+def deal(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """``(lang, all_bytes, text)`` with one shard in each partition."""
     sizes = docs.groupBy("lang").agg(F.sum("size").alias("all_bytes")).where("all_bytes > 0")
     wanted = F.greatest(
         F.ceil(F.col("all_bytes") / shard_bytes),
@@ -158,14 +155,21 @@ def mine_shards(docs: DataFrame, support: int, shard_bytes: int) -> DataFrame:
     sizes = materialise(
         sizes.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0))), "phrase-shards"
     )
-    total = sizes.agg(F.sum("shards").alias("n")).first()["n"]
-    schema = "lang string, phrase binary, words int, count long"
-    if not total:
-        return docs.sparkSession.createDataFrame([], schema)
+    total = int(sizes.agg(F.sum("shards").alias("n")).first()["n"] or 0)
     dealt = lookup_join(docs.where("size > 0"), sizes, ["lang"], spread_by=F.col("doc_id"))
     # Equal rows go to one shard; the worker cuts it where they are too many.
     number = F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), F.col("shards"))
     dealt = dealt.select("lang", "all_bytes", "text", number.cast("int").alias("shard"))
+    dealt = dealt.repartitionById(max(1, total), F.col("shard"))
+    return dealt.select("lang", "all_bytes", "text")
+
+
+def mine_shards(dealt: DataFrame, support: int, shard_bytes: int) -> DataFrame:
+    """``(lang, phrase, words, count)`` from every shard: all words, and what is frequent there.
+
+    ``count`` is the count in the shard, so sums over shards are exact for single words only.
+    """
+    schema = "lang string, phrase binary, words int, count long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, lang, whole = Shard(), None, 0
@@ -200,9 +204,7 @@ def mine_shards(docs: DataFrame, support: int, shard_bytes: int) -> DataFrame:
         if lang is not None:
             yield from results()
 
-    return dealt.repartitionById(int(total), F.col("shard")).select(
-        "lang", "all_bytes", "text"
-    ).mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 class Trie:
@@ -254,7 +256,11 @@ class _Numbers(dict):
 
 
 def count_phrases(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``(cid, a)``: occurrences of every candidate ``(cid, lang, phrase)`` in all texts."""
+    """``(cid, a)``: occurrences of every candidate ``(cid, lang, phrase)`` in all texts.
+
+    ``docs`` holds one shard in each partition, so that a candidate leaves as many partial
+    counts as its language has shards, not as many as the table has splits.
+    """
     spark = docs.sparkSession
     n = candidates.count()
     batches = max(1, -(-n // BATCH_PHRASES))
@@ -309,8 +315,8 @@ def phrase_counts(
     docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, words, a)`` of frequent phrases and words, and ``(lang, n)``, both exact."""
-    rows = prepared(docs)
-    mined = materialise(mine_shards(rows, support, shard_bytes), "phrases-mined")
+    dealt = deal(prepared(docs), shard_bytes)
+    mined = materialise(mine_shards(dealt, support, shard_bytes), "phrases-mined")
     words = materialise(
         mined.where("words = 1").groupBy("lang", "phrase").agg(F.sum("count").alias("a")),
         "phrase-words",
@@ -324,7 +330,7 @@ def phrase_counts(
         .withColumn("cid", F.monotonically_increasing_id()),
         "phrase-candidates",
     )
-    counted = count_phrases(rows, candidates).where(F.col("a") >= support)
+    counted = count_phrases(dealt, candidates).where(F.col("a") >= support)
     longer = candidates.join(counted, "cid").select("lang", "phrase", "words", "a")
     single = words.where(F.col("a") >= support).select(
         "lang", "phrase", F.lit(1).alias("words"), "a"
