@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tokenloom.session import materialise
 
@@ -36,6 +35,8 @@ MIN_COMMON_WORDS = 200
 MIN_REFERENCE_WORDS = 1000
 MAX_CLASS_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.235
+#: Rows of a batch that are held as Python texts at once.
+SLICE_ROWS = 256
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -131,10 +132,11 @@ def document_features(docs: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                rows = zip(*[text_features(t.as_py()) for t in batch.column(2)])
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                rows = zip(*[text_features(t.as_py()) for t in part.column(2)])
                 columns = [pa.array(c, t) for c, t in zip(rows, types)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], names)
 
     columns = docs.select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
@@ -222,44 +224,50 @@ def quality(docs: DataFrame) -> DataFrame:
     return judge(features, language_references(features))
 
 
+def js_distances(histograms: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Distance of every histogram to the closest reference, as ``js_distance`` has it."""
+    shares = lambda h: h / np.maximum(h.sum(axis=1, keepdims=True), 1)
+    p, least = shares(histograms), np.full(len(histograms), np.inf)
+    for q in shares(references):
+        both = p + q
+        with np.errstate(divide="ignore", invalid="ignore"):
+            terms = np.where(p > 0, p * np.log2(2 * p / both), 0.0)
+            terms += np.where(q > 0, q * np.log2(2 * q / both), 0.0)
+        np.minimum(least, np.sqrt(np.maximum(terms.sum(axis=1) / 2, 0)), out=least)
+    return least
+
+
+def verdicts(rows: list[tuple], references: list[tuple[str, list[int], list[int]]]) -> np.ndarray:
+    """``kept`` of ``judge`` for the features of some texts."""
+    words, repeated = (np.array([r[i] for r in rows]) for i in (0, 4))
+    classes, commons = (np.array([r[i] for r in rows], dtype=np.float64) for i in (5, 6))
+    kept = (words >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * words)
+    if references:
+        of = lambda at: np.array([r[at] for r in references], dtype=np.float64)
+        short = classes.sum(axis=1) < MIN_CLASS_CHARS
+        kept &= short | (js_distances(classes, of(1)) <= MAX_CLASS_DISTANCE)
+        kept &= (words < MIN_COMMON_WORDS) | (js_distances(commons, of(2)) <= MAX_WORD_DISTANCE)
+    return kept
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns and no shuffle of texts.
 
     References come from a first pass over all documents; the second pass judges each row
-    where its text is.
+    where its text is, in slices, so that a text crosses to Python once.
     """
-    names = {f"_q_{name}": name for name in ("n_words", "n_repeat_words", "classes", "commons")}
     references = language_references(materialise(document_features(docs), "divergence-features"))
-    schema = StructType(
-        [
-            StructField("_q_n_words", LongType()),
-            StructField("_q_n_repeat_words", LongType()),
-            StructField("_q_classes", ArrayType(LongType())),
-            StructField("_q_commons", ArrayType(LongType())),
-            *docs.schema.fields,
-        ]
-    )
+    at = docs.columns.index("text")
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                rows = [text_features(t.as_py()) for t in batch.column(0)]
-                found = [pa.array([r[i] for r in rows], t) for i, t in _KEPT_FEATURES]
-                yield pa.RecordBatch.from_arrays(
-                    [*found, *batch.columns[1:]], [*names, *batch.schema.names[1:]]
-                )
-
-    wide = docs.select(F.col("text").cast("string").alias("_q_text"), "*")
-    judged = judge(wide.mapInArrow(compute, schema), references, prefix="_q_")
-    return judged.where("_q_kept").select(*docs.columns)
-
-
-_KEPT_FEATURES = (
-    (0, pa.int64()),
-    (4, pa.int64()),
-    (5, pa.list_(pa.int64())),
-    (6, pa.list_(pa.int64())),
-)
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                texts = part.column(at).cast(pa.string())
+                rows = [text_features(t.as_py()) for t in texts]
+                yield part.filter(pa.array(verdicts(rows, references)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def check_sql() -> str:

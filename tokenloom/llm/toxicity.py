@@ -42,6 +42,8 @@ MIN_TOXIC_SHARE = 0.006
 MIN_RATIO = 15.0
 #: Documents that share more of their words than this are kin.
 MAX_KINSHIP = 0.4
+#: Rows of a batch that are held as Python texts at once.
+SLICE_ROWS = 256
 THRESHOLD = 0.7
 #: Toxic documents are the exception, and clean ones are to be left alone.
 TOXIC_PRIOR = 0.15
@@ -280,6 +282,26 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     return wide.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    Rows are dropped where they are scored, in slices, so that a text crosses to Python once.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(model.ordinary, model.toxic)
+        weights = np.array(model.weights)
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                texts = part.column(at).cast(pa.string())
+                x = np.array([distance.figures(t.as_py()) for t in texts]) @ weights + model.bias
+                yield part.filter(pa.array(1 / (1 + np.exp(-x)) < THRESHOLD))
+
+    return docs if model is None else docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
     model = train(fit_sample(docs, labels))
