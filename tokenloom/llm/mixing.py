@@ -181,7 +181,7 @@ class Mix:
         self.sizes = [r["size"] for r in rows]
         self.targets = targets(self.sizes, weights) if rows else []
         self.blocks, self.quotas = block_quotas(self.sizes, self.targets, block_words)
-        sources = self.spark.createDataFrame(
+        self.sources = sources = self.spark.createDataFrame(
             [(r["source"], i, r["size"], t) for i, (r, t) in enumerate(zip(rows, self.targets))],
             "name string, src int, source_size long, target double",
         )
@@ -259,28 +259,34 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``text`` becomes the words taken in that pass, ``n_chars``, where present, their length.
     """
     mix = Mix(docs, **options)
+    # Rows equal in id, source and text are told apart by number, in any order.
+    nth = F.row_number().over(Window.partitionBy("key", "src").orderBy("start"))
+    places = mix.placed.where("size > 0").select("src", "start", nth.alias("nth"))
     runs = (
         mix.stream()
         .groupBy("src", "start", "key", "turn")
         # At most one entry for every block that the document touches.
-        .agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
+        .agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
+        .join(places, ["src", "start"])
+        .join(F.broadcast(mix.sources.select("src", "name")), "src")
+        .select("key", "name", "nth", "runs")
     )
-    # Rows equal in id and text are told apart by number, in any order.
-    nth = F.dense_rank().over(Window.partitionBy("key").orderBy("src", "start"))
-    runs = runs.withColumn("_nth", nth).select(
-        F.col("key").alias("_key"), "_nth", F.col("turn").alias("_turn"), "_runs"
+    # The whole row in one column, so that no name of its own can clash.
+    keyed = docs.where(size_of(F.col("text")) > 0).select(
+        F.struct(*docs.columns).alias("row"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"),
+        F.col("source").cast("string").alias("named"),
     )
-    row = Window.partitionBy("_key").orderBy("source")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    keyed = keyed.withColumn("_nth", F.row_number().over(row))
-    joined = keyed.join(runs, ["_key", "_nth"])
+    row = Window.partitionBy("key", "named").orderBy(F.lit(0))
+    keyed = keyed.withColumn("nth", F.row_number().over(row))
+    joined = keyed.join(runs, ["key", "nth"]).where(F.col("named").eqNullSafe(F.col("name")))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            columns = list(batch.columns)
-            runs = columns.pop()
+            columns = list(batch.column(0).flatten())
+            runs = batch.column(1)
             texts = [
                 _cut_words(t.as_py(), merged(r.as_py())) for t, r in zip(columns[at], runs)
             ]
@@ -290,7 +296,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 columns[i] = pa.array([len(t) for t in texts]).cast(columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*names, "_runs").mapInArrow(run, docs.schema)
+    return joined.select("row", "runs").mapInArrow(run, docs.schema)
 
 
 def merged(runs: list[dict]) -> list[tuple[int, int]]:

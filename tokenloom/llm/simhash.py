@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.components import connected
-from tokenloom.llm.shingles import near_copies
+from tokenloom.llm.shingles import near_copies, text_hash
 from tokenloom.session import materialise
 
 MAX_BITS = 2
@@ -202,12 +202,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies, with all its columns: the smallest id.
 
     Near copies have five-word shingles of similarity 0.8 or more; fingerprints within two
-    bits, the contract of ``near_duplicates``, find next to none of them. Of rows that share that id one stays. Rows without an id are not compared and all stay.
+    bits, the contract of ``near_duplicates``, find next to none of them. Rows that share an id
+    but not their text are compared like others; of rows equal in both one stays. Rows without
+    an id are not compared and all stay.
     """
     known = docs.where(F.col("doc_id").isNotNull())
     classes = near_copies(known.select("doc_id", "text"))
-    keepers = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    held = known.join(
-        keepers.distinct(), known["doc_id"].cast("long") == F.col("_kept_id"), "left_semi"
+    keepers = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    keepers = keepers.select("kept.*").distinct()
+    # The whole row in one column, so that no name of its own can clash.
+    rows = known.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_hash().alias("text_hash"),
     )
-    return held.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    held = rows.join(keepers, ["doc_id", "text_hash"], "left_semi")
+    held = held.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    return held.unionByName(docs.where(F.col("doc_id").isNull()))
