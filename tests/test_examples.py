@@ -107,7 +107,7 @@ def test_stored_examples(spark, tmp_path):
     path = str(tmp_path / "examples")
     shards.write_example_shards(placed, BYTES, path)
     stored = shards.read_example_shards(spark, path)
-    assert stored.count() == 5 and {len(r["source"]) for r in stored.collect()} == {30}
+    assert stored.count() == 5 and {len(r["source"]) for r in stored.collect()} == {40}
     assert quality.shard_gaps(stored).count() == 0
     broken = stored.where("NOT (split = 'train' AND shard_id = 0)")
     assert quality.shard_gaps(broken).count() == 1
