@@ -390,19 +390,33 @@ def langid_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.trigram_counts(_documents(spark, sf_dir))
 
 
+HALVES_SQL = f"""
+train AS ({_trigrams_sql('half, doc_id, lang', 'text', '(SELECT *, doc_id % 2 AS half FROM documents)')}),
+prof AS (SELECT half, lang, tri, count(*) AS n FROM train GROUP BY ALL),
+mass AS (SELECT half, lang, sum(n) + {langid.SMOOTHING}::DOUBLE * {langid.VOCABULARY} AS m FROM prof GROUP BY ALL),
+gc AS (SELECT half, doc_id, tri, count(*) AS c FROM train GROUP BY ALL),
+sc AS (
+  SELECT gc.doc_id, mass.lang, sum(c * ln((coalesce(n, 0) + {langid.SMOOTHING}::DOUBLE) / m)) AS score
+  FROM gc JOIN mass ON mass.half <> gc.half
+  LEFT JOIN prof ON prof.half = mass.half AND prof.tri = gc.tri AND prof.lang = mass.lang GROUP BY ALL),
+found AS (
+  SELECT doc_id, lang AS language FROM sc
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) = 1)"""
+
+
 @query(
-    f"""WITH {PROFILE_SQL},{_identify_sql('doc_id', _trigrams_sql('doc_id', 'text', 'documents'))}
+    f"""WITH {HALVES_SQL}
 SELECT d.lang, language, count(*) AS n FROM documents d LEFT JOIN found USING (doc_id) GROUP BY 1, 2"""
 )
 def langid_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each half of the documents under the weights of the other half."""
     docs = _documents(spark, sf_dir)
-    found = langid.identify(docs, langid.train_profile(docs), keys=["doc_id"])
-    return (
-        docs.select("doc_id", "lang")
-        .join(found, "doc_id", "left")
-        .groupBy("lang", "language")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    found = None
+    for half in (0, 1):
+        profile = langid.train_profile(docs.where(F.col("doc_id") % 2 != half))
+        own = langid.identify(docs.where(F.col("doc_id") % 2 == half), profile, keys=["lang"])
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,7 +468,9 @@ CAP = 25
 @query(_stats_sql(CAP))
 def sft_capped_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cap is the feature here: rows after a source's cap-th kept one are not counted."""
-    return filters.skip_stats(filters.cap_per_source(_reasoned(spark, sf_dir), CAP))
+    profile = langid.train_profile(_documents(spark, sf_dir))
+    mix = materialise(_mix(spark, sf_dir), "mix")
+    return filters.skip_stats(filters.capped_reasons(mix, BYTES, cap=CAP, profile=profile))
 
 
 @query(_stats_sql(0))
