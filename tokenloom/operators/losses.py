@@ -80,6 +80,26 @@ def mean_of_batch_means(
     return per_batch.agg(F.count(F.lit(1)).alias("n_batches"), F.avg("m").alias("loss"))
 
 
+def mean_of_running_batches(
+    token_losses: DataFrame, running: int, batch: str = "batch_id"
+) -> DataFrame:
+    """Mean of the plain means of ``running`` batches in a row, from the first one again after the last.
+
+    Where the pass has fewer batches, its first ones count once more than the others.
+    """
+    first = token_losses.where(F.col(batch) < running)
+    per_batch = first.groupBy(F.col(batch).alias("b")).agg(F.avg("loss").alias("m"))
+    # At most ``running`` entries.
+    held = per_batch.agg(F.collect_list(F.struct("b", "m")).alias("means"))
+    size = F.size("means").cast("bigint")
+    times = lambda b: F.call_function("div", F.lit(running) - 1 - b, size) + 1
+    total = F.aggregate("means", F.lit(0.0), lambda s, x: s + x["m"] * times(x["b"]))
+    return held.select(
+        F.size("means").cast("bigint").alias("n_batches"),
+        F.when(size > 0, total / running).alias("loss"),
+    )
+
+
 def masked_batch_sums(token_losses: DataFrame, by: list[str]) -> DataFrame:
     """Per batch: masked loss sum, and active tokens but never less than one."""
     return token_losses.groupBy(*by).agg(

@@ -52,6 +52,17 @@ def place_documents(
     )
 
 
+def within(placed: DataFrame, end: int, begin: int = 0) -> DataFrame:
+    """The documents that touch stream positions ``begin`` to ``end - 1``.
+
+    Positions come from lengths, so this stands in front of tokenising: texts outside
+    of the range are neither tokenised nor moved on.
+    """
+    return placed.where(
+        (F.col("start") < F.lit(end)) & (F.col("start") + F.col("n_tokens") > F.lit(begin))
+    )
+
+
 def split_of_shard(shard_id: Column) -> Column:
     """The first shard is held out; a stream of one shard has no training part."""
     return F.when(shard_id == 0, F.lit("val")).otherwise(F.lit("train"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
 from tokenloom.functions.arrays import permutation_key
+from tokenloom.functions.permutation import permuted
 from tokenloom.operators.prefix import running_total_by_key, shuffled_rank
 
 
@@ -37,43 +38,61 @@ def window_index(lengths: DataFrame, window: int = fv.WINDOW_TOKENS) -> DataFram
 def window_tokens(fragments: DataFrame, window: int = fv.WINDOW_TOKENS) -> DataFrame:
     """``(split, shard_id, win, start, tokens)`` with ``window + 1`` tokens per row.
 
-    Each fragment is cut into the parts that fall into each window (neighbours
-    share one token), and the parts meet again by window. A group never holds
-    more than ``window + 1`` tokens, whatever the size of shard or document.
+    Windows that lie inside a fragment are cut out where it is. Only the parts at its two
+    ends meet those of its neighbours by window (neighbouring windows share one token), so
+    at most two parts of up to ``window`` tokens per fragment are shuffled, however long
+    it is. ``fragments`` is read twice: pass stored ones.
     """
     t = F.lit(window).cast("bigint")
     pos = F.col("shard_pos")
     size = F.size("tokens").cast("bigint")
     first = _div(F.greatest(pos - 1, F.lit(0)), t)
     last = _div(pos + size - 1, t)
+    first_whole, last_whole = _div(pos + t - 1, t), last - 1
+
+    def cut(lo: Column, hi: Column) -> Column:
+        return F.slice("tokens", (lo - pos + 1).cast("int"), (hi - lo).cast("int"))
+
+    rows = fragments.where(size > 0)
+    inside = rows.where(first_whole <= last_whole).select(
+        "split",
+        "shard_id",
+        F.inline(
+            F.transform(
+                F.sequence(first_whole, last_whole),
+                lambda win: F.struct(
+                    win.alias("win"), cut(win * t, win * t + t + 1).alias("tokens")
+                ),
+            )
+        ),
+    )
 
     def part(win: Column) -> Column:
         lo = F.greatest(pos, win * t)
         hi = F.least(pos + size, win * t + t + 1)
         return F.struct(
-            win.alias("win"),
-            F.struct(
-                lo.alias("at"),
-                F.slice("tokens", (lo - pos + 1).cast("int"), (hi - lo).cast("int")).alias("ids"),
-            ).alias("part"),
+            win.alias("win"), F.struct(lo.alias("at"), cut(lo, hi).alias("ids")).alias("part")
         )
 
-    parts = fragments.where(size > 0).select(
-        "split", "shard_id", F.inline(F.transform(F.sequence(first, last), part))
+    ends = F.filter(
+        F.array_distinct(F.array(first, last)),
+        lambda win: (win < first_whole) | (win > last_whole),
     )
-    whole = parts.groupBy("split", "shard_id", "win").agg(
+    parts = rows.select("split", "shard_id", F.inline(F.transform(ends, part)))
+    met = parts.groupBy("split", "shard_id", "win").agg(
         F.array_sort(F.collect_list("part")).alias("parts"),
         F.sum(F.size("part.ids")).alias("n_ids"),
     )
     # Only a shard's last window can be short.
-    whole = whole.where(F.col("n_ids") == window + 1)
-    return whole.select(
+    across = met.where(F.col("n_ids") == window + 1).select(
         "split",
         "shard_id",
         "win",
-        (F.col("win") * t).alias("start"),
         F.flatten(F.transform("parts", lambda p: p["ids"])).alias("tokens"),
     )
+    return inside.unionByName(across).select(
+        "split", "shard_id", "win", (F.col("win") * t).alias("start"), "tokens"
+    )
 
 
 def shifted_pair(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -106,6 +125,29 @@ def served_order(
     )
 
 
+def with_ordinal(lengths: DataFrame, window: int = fv.WINDOW_TOKENS) -> DataFrame:
+    """Shards with ``first_row`` (windows of the split before it) and ``split_rows`` (all of them).
+
+    One row per shard; with these two numbers a window knows its place without an index.
+    """
+    n = F.greatest(_div(F.col("n_tokens") - 1, window), F.lit(0))
+    sized = lengths.withColumn("_n", n)
+    placed = running_total_by_key(
+        sized, F.col("_n"), key="shard_id", by=["split"], out="first_row", total="split_rows"
+    )
+    return placed.withColumn("first_row", F.coalesce("first_row", F.lit(0).cast("bigint"))).drop("_n")
+
+
+def computed_order(rows: DataFrame, *, seed: int, epochs: Column) -> DataFrame:
+    """Serving positions of ``rows`` (``row`` of ``n_rows``) in every epoch, without a sort.
+
+    Adds ``epoch`` and ``perm_pos``: each epoch is another permutation, and a row's place
+    in it is computed from the row alone, so nothing is shuffled and no index is stored.
+    """
+    each = rows.withColumn("epoch", F.explode(epochs))
+    return each.withColumn("perm_pos", permuted(F.col("row"), F.col("n_rows"), seed, F.col("epoch")))
+
+
 def batches(ordered: DataFrame, batch_rows: int, world: int, total: str) -> DataFrame:
     """Stripe the order over ranks and cut each stripe into full batches.
 
@@ -135,6 +177,14 @@ def epoch_of_batch(global_batch: Column, batches_per_epoch: Column) -> tuple[Col
     return _div(global_batch, batches_per_epoch), global_batch % batches_per_epoch
 
 
+def running_batch(
+    epoch: Column, batch: Column, rank: Column, total: Column, batch_rows: int, world: int
+) -> Column:
+    """The other way round: a rank's batch number counted on through all epochs."""
+    of_rank = _div(total - rank + (world - 1), world)
+    return epoch * _div(of_rank, batch_rows) + batch
+
+
 def next_seed(base_seed: int, split: str, new_seed: int | None = None) -> int:
     """Seed after a reset: an explicit one wins, training moves on by one, validation stays."""
     if new_seed is not None:

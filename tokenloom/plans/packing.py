@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
 from tokenloom.functions.arrays import digest
+from tokenloom.functions.permutation import ROUNDS
 from tokenloom.functions.rates import accumulation_steps
 from tokenloom.operators import pack, windows
 from tokenloom.operators.quality import id_range, shards_before_gap
-from tokenloom.operators.tokenizers import ByteTokenizer, RankFileTokenizer, with_leading_delimiter
+from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
 from tokenloom.plans import sqltext as q
 from tokenloom.plans.catalog import query
 from tokenloom.session import materialise, scratch_path, spread
 from tokenloom.sources.corpus import read_corpus, with_file_ordinal
-from tokenloom.sources.shards import read_token_shards, write_token_shards
+from tokenloom.sources.shards import (
+    fragments_at,
+    read_token_shards,
+    shard_faults,
+    write_manifest,
+    write_token_shards,
+)
 
 BYTES = ByteTokenizer()
 # Small enough that the test tables fill many shards and windows.
@@ -75,18 +82,6 @@ def _fragment_view(fragments: DataFrame) -> DataFrame:
     )
 
 
-@query(FRAGMENTS_SQL)
-def corpus_pack_rank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The byte-pair path over the corpus; ranks of single bytes alone give byte ids."""
-    path = scratch_path(spark, "ranks")
-    token = F.base64(F.to_binary(F.lpad(F.hex("id"), 2, "0"), F.lit("hex")))
-    ranks = spark.range(256).select(F.concat_ws(" ", token, F.col("id").cast("string")))
-    ranks.coalesce(1).write.text(path)
-    bpe = RankFileTokenizer(spark, path)
-    placed = pack.place_documents(_documents(spark, sf_dir).select("doc_id", "text"), bpe)
-    return _fragment_view(pack.shard_fragments(placed, bpe, SHARD))
-
-
 @query(
     f"""WITH {q.placed(SHARD)}
 SELECT {q.SPLIT} AS split, shard_id, count(*) AS n_pieces, sum(hi - lo)::BIGINT AS n_tokens,
@@ -171,7 +166,8 @@ SELECT {q.SPLIT} AS split, shard_id, win, {q.md5_list(f'toks[1:{WINDOW}]')} AS x
        {q.md5_list(f'toks[2:{WINDOW + 1}]')} AS y_md5 FROM wins"""
 )
 def window_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.shifted_pair(windows.window_tokens(_fragments(spark, sf_dir), WINDOW))
+    fragments = materialise(_fragments(spark, sf_dir), "fragments")
+    rows = windows.shifted_pair(windows.window_tokens(fragments, WINDOW))
     return rows.select(
         "split",
         "shard_id",
@@ -316,3 +312,154 @@ def window_wraparound(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     epoch, batch = windows.epoch_of_batch(F.col("g"), F.col("rank_batches"))
     return running.select("split", "rank", "g", epoch.alias("epoch"), batch.alias("batch_id"))
+
+
+# ---------------------------------------------------------------------------------------
+# Shards by their manifest, and serving orders that are computed.
+
+MARK = 4096
+
+
+def _described(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Stored shards and their manifest."""
+    path = scratch_path(spark, "token-shards")
+    write_token_shards(_fragments(spark, sf_dir), path)
+    return path, write_manifest(spark, path, MARK)
+
+
+@query(
+    f"""WITH {q.placed(SHARD)}
+SELECT {q.SPLIT} AS split, shard_id, count(*) AS n_pieces, sum(hi - lo)::BIGINT AS n_tokens,
+       min(doc_id) AS first_doc, max(doc_id) AS last_doc,
+       count(DISTINCT (lo - shard_id * {SHARD}) // {MARK}) AS n_marks,
+       (sum(hi - lo)::BIGINT - 1) // {WINDOW} AS n_windows
+FROM pieces GROUP BY 1, 2"""
+)
+def token_shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of every shard; windows are counted from it."""
+    _, manifest = _described(spark, sf_dir)
+    n_windows = windows.window_index(manifest, WINDOW).groupBy("split", "shard_id").count()
+    return manifest.join(n_windows, ["split", "shard_id"], "left").select(
+        "split", "shard_id", "n_pieces", "n_tokens", "first_doc", "last_doc",
+        F.size("marks").cast("bigint").alias("n_marks"),
+        F.coalesce("count", F.lit(0).cast("bigint")).alias("n_windows"),
+    )
+
+
+@query(
+    f"""WITH {q.placed(SHARD)},
+k AS (SELECT shard_id, min({q.SPLIT}) AS split, sum(hi - lo)::BIGINT AS n, max(shard_id) OVER () AS last
+      FROM pieces GROUP BY shard_id)
+SELECT CASE WHEN shard_id % 5 <> 2 OR shard_id = last THEN split END AS split, shard_id,
+       CASE WHEN shard_id % 5 = 2 AND shard_id < last THEN 'missing' WHEN shard_id % 5 = 3 THEN 'doubled'
+            ELSE 'torn' END AS fault
+FROM k WHERE (shard_id % 5 = 2 AND shard_id < last) OR shard_id % 5 = 3
+   OR (shard_id % 5 = 4 AND n > 100)"""
+)
+def shard_manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some shards are taken out, doubled or cut short on purpose; all have to be found."""
+    _, manifest = _described(spark, sf_dir)
+    manifest = materialise(manifest, "manifest")
+    last = manifest.agg(F.max("shard_id")).scalar()
+    fifth = F.col("shard_id") % 5
+    damaged = manifest.where((fifth != 2) | (F.col("shard_id") == last)).withColumn(
+        "n_tokens",
+        F.when((fifth == 4) & (F.col("n_tokens") > 100), F.col("n_tokens") - 100).otherwise(
+            F.col("n_tokens")
+        ),
+    )
+    damaged = damaged.unionByName(damaged.where(fifth == 3))
+    return shard_faults(damaged, SHARD)
+
+
+STEP = 997
+
+
+@query(
+    f"""WITH {q.placed(SHARD)}
+SELECT shard_id, (p - shard_id * {SHARD})::BIGINT AS shard_pos, doc_id, (p - lo)::BIGINT AS doc_offset
+FROM (SELECT *, unnest(range(((lo + {STEP - 1}) // {STEP}) * {STEP}, hi, {STEP})) AS p FROM pieces)"""
+)
+def shard_position_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document holds each of some positions spread over the whole stream."""
+    path, manifest = _described(spark, sf_dir)
+    size = F.lit(SHARD).cast("bigint")
+    begin = F.col("shard_id") * size
+    first = F.call_function("div", begin + (STEP - 1), F.lit(STEP).cast("bigint")) * STEP
+    asked = manifest.where(first < begin + F.col("n_tokens")).select(
+        "shard_id",
+        F.explode(
+            F.transform(
+                F.sequence(first, begin + F.col("n_tokens") - 1, F.lit(STEP).cast("bigint")),
+                lambda p: p - F.col("shard_id") * size,
+            )
+        ).alias("shard_pos"),
+    )
+    return fragments_at(asked, manifest, spark.read.parquet(path), MARK)
+
+
+EPOCHS, ORDER_SEED = 3, 2024
+
+
+def _hash_sql(number: int, digit: str) -> str:
+    key = f"'{ORDER_SEED}-' || epoch || '-{number}-' || {digit}"
+    return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+
+
+def _rounds_sql() -> str:
+    rows = "SELECT * EXCLUDE (y), y // wide AS l, y % wide AS r FROM walk WHERE steps = 0 OR y >= n_rows"
+    for number in range(ROUNDS):
+        if number % 2:
+            moved = f"l, (r + {_hash_sql(number, 'l')} % wide) % wide AS r"
+        else:
+            moved = f"(l + {_hash_sql(number, 'r')} % high) % high AS l, r"
+        rows = f"SELECT * EXCLUDE (l, r), {moved} FROM ({rows})"
+    return f"""SELECT split, shard_id, win, row, n_rows, epoch, wide, high, steps + 1 AS steps,
+       l * wide + r AS y FROM ({rows})"""
+
+
+@query(
+    f"""WITH RECURSIVE {q.placed(SHARD)},{q.windows(SHARD, WINDOW)},
+numbered AS (
+  SELECT split, shard_id, win, row_number() OVER (PARTITION BY split ORDER BY shard_id, win) - 1 AS row,
+         count(*) OVER (PARTITION BY split) AS n_rows FROM idx),
+walk AS (
+  SELECT *, greatest((n_rows + wide - 1) // wide, 1) AS high, 0 AS steps, row AS y FROM (
+    SELECT *, greatest(ceil(sqrt(n_rows::DOUBLE))::BIGINT, 1) AS wide
+    FROM numbered, (SELECT unnest(range({EPOCHS})) AS epoch) WHERE split = 'train')
+  UNION ALL {_rounds_sql()}),
+served AS (SELECT *, y AS p FROM walk WHERE steps > 0 AND y < n_rows),
+placed_rows AS (
+  SELECT *, p % {WORLD} AS rank, (p // {WORLD}) // {BATCH} AS batch_id, (p // {WORLD}) % {BATCH} AS slot,
+         ((n_rows - p % {WORLD} + {WORLD - 1}) // {WORLD}) // {BATCH} AS per FROM served)
+SELECT epoch, rank, epoch * per + batch_id AS running_batch, slot, shard_id, win
+FROM placed_rows WHERE batch_id < per"""
+)
+def served_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three training epochs, their batches numbered on through the wrap-around.
+
+    The order comes from the manifest and the rows' own numbers; no index is sorted.
+    """
+    _, manifest = _described(spark, sf_dir)
+    shards = windows.with_ordinal(
+        manifest.where(F.col("split") == "train").select("split", "shard_id", "n_tokens"), WINDOW
+    )
+    n = F.call_function("div", F.col("n_tokens") - 1, F.lit(WINDOW).cast("bigint"))
+    rows = shards.where(n > 0).select(
+        "shard_id", F.col("split_rows").alias("n_rows"), "first_row",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("win"),
+    )
+    rows = rows.withColumn("row", F.col("first_row") + F.col("win"))
+    epochs = F.sequence(F.lit(0).cast("bigint"), F.lit(EPOCHS - 1).cast("bigint"))
+    ordered = windows.computed_order(rows, seed=ORDER_SEED, epochs=epochs)
+    served = windows.batches(ordered, BATCH, WORLD, "n_rows")
+    return served.select(
+        "epoch",
+        F.col("rank").cast("bigint").alias("rank"),
+        windows.running_batch(
+            F.col("epoch"), F.col("batch_id"), F.col("rank"), F.col("n_rows"), BATCH, WORLD
+        ).alias("running_batch"),
+        F.col("slot").cast("bigint").alias("slot"),
+        "shard_id",
+        "win",
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
 from tokenloom.functions.arrays import digest
-from tokenloom.operators import choices, losses, windows
+from tokenloom.operators import choices, losses, pack, windows
 from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
 from tokenloom.plans import mix, packing
 from tokenloom.plans import sqltext as q
@@ -328,21 +328,54 @@ SELECT count(*) AS n_batches, round(avg(m), 6) AS loss FROM means"""
 )
 def val_loss_mean_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first batches of the validation pass; how many is part of the measure."""
-    fragments = packing._fragments(spark, sf_dir).where(F.col("split") == "val")
-    rows = windows.window_tokens(fragments, packing.WINDOW)
-    index = materialise(packing._index(spark, sf_dir), "windows")
-    order = windows.served_order(index, ("shard_id", "win"), "val")
-    order = windows.with_total(order, index.where(F.col("split") == "val"))
-    wanted = windows.batches(order, packing.BATCH, 1, "n_rows").where(
-        F.col("batch_id") < fv.VALIDATION_BATCHES
-    )
-    picked = rows.join(wanted.select("split", "shard_id", "win", "batch_id"), ["split", "shard_id", "win"])
     score = losses.counting_scorer(_corpus_counts(spark, sf_dir), BYTES.vocab_size, ["batch_id"])
+    picked = _validation_batches(spark, sf_dir, packing.BATCH)
     return losses.mean_of_batch_means(score(picked), fv.VALIDATION_BATCHES).select(
         "n_batches", F.round("loss", 6).alias("loss")
     )
 
 
+def _validation_batches(spark: SparkSession, sf_dir: str, batch_rows: int) -> DataFrame:
+    """Windows of the first validation batches; documents beyond them are not tokenised.
+
+    The pass keeps the stream's order and the first shard is all of it, so its windows'
+    numbers are their places.
+    """
+    end = min(packing.SHARD, fv.VALIDATION_BATCHES * batch_rows * packing.WINDOW + 1)
+    placed = pack.within(packing._placed(spark, sf_dir), end)
+    fragments = pack.shard_fragments(placed, BYTES, packing.SHARD).where(F.col("split") == "val")
+    rows = windows.window_tokens(materialise(fragments, "fragments"), packing.WINDOW)
+    summary = pack.shard_summary(pack.shard_pieces(placed, packing.SHARD))
+    lengths = summary.where(F.col("split") == "val").select("split", "shard_id", "n_tokens")
+    n_rows = windows.window_index(lengths, packing.WINDOW).agg(F.count(F.lit(1))).scalar()
+    order = rows.withColumn("perm_pos", F.col("win")).withColumn("n_rows", n_rows)
+    served = windows.batches(order, batch_rows, 1, "n_rows")
+    return served.where(F.col("batch_id") < fv.VALIDATION_BATCHES)
+
+
+WIDE_BATCH = 400
+
+
+@query(
+    f"""WITH {q.placed(packing.SHARD)},{q.windows(packing.SHARD, packing.WINDOW)},
+{q.stream_tokens(packing.SHARD)},{q.window_lists(packing.SHARD, packing.WINDOW)},{COUNTS_SQL},
+ordered AS (SELECT toks, (row_number() OVER (ORDER BY shard_id, win) - 1) // {WIDE_BATCH} AS batch_id,
+                   count(*) OVER () // {WIDE_BATCH} AS per FROM wins WHERE shard_id = 0),
+st AS (SELECT batch_id, per, unnest(toks[:-2]) AS prev, unnest(toks[2:]) AS next FROM ordered
+       WHERE batch_id < least({fv.VALIDATION_BATCHES}, per)),
+means AS (SELECT batch_id, per, avg(loss) AS m FROM {_loss_sql('st')} GROUP BY 1, 2)
+SELECT count(DISTINCT batch_id) AS n_batches, round(avg(m), 6) AS loss
+FROM means JOIN (SELECT unnest(range({fv.VALIDATION_BATCHES})) AS g) ON batch_id = g % per"""
+)
+def val_loss_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches so wide that the validation pass starts again before the measure is full."""
+    score = losses.counting_scorer(_corpus_counts(spark, sf_dir), BYTES.vocab_size, ["batch_id"])
+    picked = _validation_batches(spark, sf_dir, WIDE_BATCH)
+    return losses.mean_of_running_batches(score(picked), fv.VALIDATION_BATCHES).select(
+        "n_batches", F.round("loss", 6).alias("loss")
+    )
+
+
 SUMS_SQL = f"""{mix.PADDED_SQL},{COUNTS_SQL},
 bt AS (SELECT split, shard_id, row_id // 4 AS batch_id, t, m FROM padded),
 st AS (SELECT split, shard_id, batch_id, unnest(t[:-2]) AS prev, unnest(t[2:]) AS next,
