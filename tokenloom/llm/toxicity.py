@@ -18,6 +18,7 @@ every score is 0. Repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -147,23 +148,26 @@ def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
 
     Near copies of a document count once.
     """
-    vocabularies = [
-        [_words(text) for text in {_kin(t): t for t in texts}.values()]
-        for texts in (ordinary, toxic)
-    ]
-    sizes = [max(1, len(v)) for v in vocabularies]
-    held = [Counter(w for words in v for w in words) for v in vocabularies]
-    floor = max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * sizes[1])
+    single = lambda texts: {_kin(t): t for t in texts}.values()
+    vocabularies = [{sys.intern(w) for w in _words(text)} for text in single(toxic)]
+    held = Counter(w for words in vocabularies for w in words)
+    floor = max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * max(1, len(vocabularies)))
+    frequent = {word for word, n in held.items() if n >= floor}
+    # Of ordinary documents only the counts of these words are kept.
+    plain, usual = single(ordinary), Counter()
+    for text in plain:
+        usual.update(_words(text) & frequent)
+    sizes = [max(1, len(plain)), max(1, len(vocabularies))]
     favoured = {
         word: []
-        for word, n in held[1].items()
-        if n >= floor and n / sizes[1] > MIN_RATIO * (held[0][word] + 0.5) / sizes[0]
+        for word in frequent
+        if held[word] / sizes[1] > MIN_RATIO * (usual[word] + 0.5) / sizes[0]
     }
-    for words in vocabularies[1]:
+    for words in vocabularies:
         for word in words & favoured.keys():
             favoured[word].append(words)
     telling = [
-        (held[1][word], word) for word, found in favoured.items() if _unrelated(found, floor)
+        (held[word], word) for word, found in favoured.items() if _unrelated(found, floor)
     ]
     content = b""
     for _, word in sorted(telling, reverse=True):
