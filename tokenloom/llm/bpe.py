@@ -94,7 +94,7 @@ def literal_map(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
         at += int(np.argmin(taken))
         place(left, at)
     # A row of one pair fits any free place.
-    gaps = iter((widest + np.flatnonzero(~used[widest:])).tolist())
+    gaps = map(int, widest + np.flatnonzero(~used[widest:]))
     for left in sorted(x for x in rows if len(rows[x]) == 1):
         place(left, next(gaps) - rows[left][0][0])
     entries = [placed.get(i, _NO_ENTRY) for i in range(max(shift) + 1 + (1 << 16))]
@@ -107,13 +107,15 @@ def _constant(values: list[int]) -> Column:
 
 def fold_merges(ids: Column, tables: tuple[list[int], list[int]]) -> Column:
     """Merge an array of byte ids until no adjacent pair has a rank."""
-    shift, entries = map(_constant, tables)
+    # Written by their difference from a free place, of which there are many: the literal is short.
+    shift, entries = _constant(tables[0]), _constant([e ^ _NO_ENTRY for e in tables[1]])
 
     def ranked(state: Column, left: Column, i: Column) -> Column:
         """Rank and position of the pair at ``i``; above all ranks if it does not merge."""
         at = F.get(shift, left.cast("int")) + F.get(state, i + 1)
         # Equal left ids cancel out, and the rank is left.
-        rank = F.get(entries, at.cast("int")).bitwiseXOR(F.shiftleft(left, 16))
+        found = F.get(entries, at.cast("int")).bitwiseXOR(F.lit(_NO_ENTRY))
+        rank = found.bitwiseXOR(F.shiftleft(left, 16))
         return F.shiftleft(rank, _POSITION_BITS) + i
 
     def replace(state: Column, best: Column) -> Column:
