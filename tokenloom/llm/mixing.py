@@ -35,6 +35,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 128
+#: Rows of a batch that are held as Python texts at once.
+SLICE_ROWS = 256
 SHARD_SLOTS = 4096
 SEED = 17
 #: Above so many slots a range of shards is halved in proportion instead of by a draw.
@@ -285,16 +287,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            columns = list(batch.column(0).flatten())
-            runs = batch.column(1)
-            texts = [
-                _cut_words(t.as_py(), merged(r.as_py())) for t, r in zip(columns[at], runs)
-            ]
-            columns[at] = pa.array(texts, columns[at].type)
-            if "n_chars" in names:
-                i = names.index("n_chars")
-                columns[i] = pa.array([len(t) for t in texts]).cast(columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                columns = list(part.column(0).flatten())
+                texts = [
+                    _cut_words(t.as_py(), merged(r.as_py()))
+                    for t, r in zip(columns[at], part.column(1))
+                ]
+                columns[at] = pa.array(texts, columns[at].type)
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    columns[i] = pa.array([len(t) for t in texts]).cast(columns[i].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.select("row", "runs").mapInArrow(run, docs.schema)
 
