@@ -16,7 +16,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [[*e.ids, 1] for e in found]
 
@@ -40,7 +39,8 @@ def test_query_against_the_library(spark, sf_dir):
 def test_odd_rows(spark, tmp_path):
     texts = [
         None, "", " \n\t ", "Plain\x1cwords here  and　there", "é ̸x",
-        "<|endoftext|> is text", "it's 12'34 ...!? \U0001f600", "İstanbul ΣΣ ß",
+        "a <|endoftext|> b", "<|startoftext|>x", "A<|endoftext|>.", "<|ENDOFTEXT|> is text",
+        "É <|endoftext|>", "<|endoftext|><|endoftext|>, END", "it's 12'34 ...!? \U0001f600", "İstanbul ΣΣ ß",
         "a\r\nb\x0bc\x0cd", "word " * 50_000, "x" * 20_000, "same", "same",
     ]
     rows = [(i // 2, t, "n", 1) for i, t in enumerate(texts)] + [(None, "no id", None, None)]
@@ -66,5 +66,6 @@ def test_every_token_is_addressable(top):
     counts = np.array([1000, 0, 2000])
     segment = dac.DacSegment(dac.encode_segment([5, None, 7], counts, ids, 11))
     assert segment.doc_ids == [5, None, 7] and segment.start == 11
-    assert (segment.all_tokens() == ids).all()
+    for a, b in [(0, 3000), (0, 0), (3000, 3000), (0, 1), (2999, 3000), *rng.integers(0, 3001, (40, 2))]:
+        assert segment.tokens(a, b).tolist() == ids[a:b].tolist()
     assert [segment.token(i) for i in range(len(ids))] == ids.tolist()

@@ -3,8 +3,9 @@
 A segment holds the ids of consecutive documents. Every id is split into chunks of eight
 bits. The first level has one chunk per id and a bitmap that says which ids go on; the
 next level has a chunk for each of those, and so on. A rank directory over each bitmap
-gives the number of set bits before any position, so that one id is found by one look at
-each of its levels, without decoding its neighbours (``DacSegment.token``).
+gives the number of set bits before any position, so that one id (``DacSegment.token``) or the ids
+of one document (``DacSegment.tokens``) are found by one look at each of their levels,
+without decoding anything else. Documents are read back in this way.
 
 Segment layout, little endian: magic ``DAC1``, levels (u8), three zero bytes, documents
 (u64), tokens (u64), first token of the segment's bucket part (u64); the document
@@ -129,12 +130,27 @@ class DacSegment:
             i = before + int(_ONES[bitmap[byte] & ((1 << bit) - 1)])
         return value
 
-    def all_tokens(self) -> np.ndarray:
-        """Every id of the segment, level by level from the last."""
+    def tokens(self, first: int, last: int) -> np.ndarray:
+        """Ids ``first`` to ``last`` (left out) of the segment, without decoding any other.
+
+        Neighbours stay neighbours on every level, so that one look into a level's directory
+        finds where the run goes on in the next.
+        """
+        runs = []
+        for chunks, bitmap, directory in self.levels:
+            if first >= last:
+                break
+            byte, bit = divmod(first, 8)
+            bits = np.unpackbits(bitmap[byte : -(-last // 8)], bitorder="little")
+            more = bits[bit : bit + last - first].view(bool)
+            runs.append((chunks[first:last].astype(np.uint32), more))
+            block = first // RANK_BITS
+            step = RANK_BITS // 8
+            before = int(directory[block]) + int(_ONES[bitmap[block * step : byte]].sum())
+            first = before + int(bits[:bit].sum())
+            last = first + int(more.sum())
         rest = np.zeros(0, dtype=np.uint32)
-        for chunks, bitmap, _ in reversed(self.levels):
-            whole = chunks.astype(np.uint32)
-            more = np.unpackbits(bitmap, bitorder="little")[: len(chunks)].astype(bool)
+        for whole, more in reversed(runs):
             whole[more] |= rest << CHUNK_BITS
             rest = whole
         return rest
@@ -150,7 +166,8 @@ class WordTokenizer:
     across white space: a text's ids are those of its space-separated pieces in order, and a
     piece's are those of its word and of the ASCII punctuation behind it. Pieces are cut at
     plain spaces and line ends alone. New words of letters are tokenised many at a time and
-    told apart by the tokens that end a word. The table of known pieces is bounded; what was
+    told apart by the tokens that end a word. A piece that names a special token goes to the
+    library as it is. The table of known pieces is bounded; what was
     used since it last filled up stays in it.
     """
 
@@ -160,7 +177,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._special = [token.content.lower() for token in added]
         size = self._tokenizer.get_vocab_size()
         names = (self._tokenizer.id_to_token(i) or "" for i in range(size))
         self._ends_word = np.array([name.endswith("</w>") for name in names])
@@ -174,40 +192,52 @@ class WordTokenizer:
         return [np.array(e.ids, dtype="<u4") for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        letters = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        letters = [w for w in words if w.isalpha() and (w.isascii() or w.lower().isalpha())]
         rest = list(set(words).difference(letters))
-        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
         for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
             ends = np.flatnonzero(self._ends_word[ids]) + 1
             if len(ends) == len(group):
-                for word, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
-                    self._known[word] = ids[a:b].tobytes()
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self._known.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
                 rest += group
         for word, ids in zip(rest, self._encode(rest)):
             self._known[word] = ids.tobytes()
 
-    def _parts(self, piece: str) -> tuple[str, str]:
-        """A piece's word and the ASCII punctuation behind it, if they can be told apart."""
-        word = piece.rstrip(PUNCTUATION)
-        if not word or not word[-1].isalpha():
-            word = piece
-        return (word.lower() if word.isascii() else word), piece[len(word) :]
+    def _names_special(self, text: str) -> bool:
+        lower = text.lower()
+        return any(name in lower for name in self._special)
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces between spaces and line ends; in lower case where that changes no id."""
+        if text.isascii() and not self._names_special(text):
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, with the end id, as little-endian 32-bit integers."""
         if len(self._known) > self._cached:
             self._known, self._earlier = {}, self._known
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         known = self._known
         new = set().union(*pieces).difference(known)
-        for piece in [p for p in new if p in self._earlier]:
-            known[piece] = self._earlier[piece]
-            new.discard(piece)
-        parts = {piece: self._parts(piece) for piece in new}
-        unknown = {part for pair in parts.values() for part in pair}.difference(known)
-        self._learn(sorted(unknown))
-        for piece, (word, tail) in parts.items():
+        again = new.intersection(self._earlier)
+        known.update((piece, self._earlier[piece]) for piece in again)
+        marked = any(map(self._names_special, texts))
+        unknown, cut = set(), []
+        for piece in new - again:
+            # A word and the ASCII punctuation behind it, if they can be told apart.
+            word = piece.rstrip(PUNCTUATION)
+            if len(word) == len(piece) or not word[-1:].isalpha():
+                unknown.add(piece)
+            elif marked and self._names_special(piece):
+                unknown.add(piece)
+            else:
+                cut.append((piece, word, piece[len(word) :]))
+                unknown.update(cut[-1][1:])
+        self._learn(list(unknown.difference(known)))
+        for piece, word, tail in cut:
             known[piece] = known[word] + known[tail]
         find = known.__getitem__
         return [b"".join(map(find, words)) + self._end for words in pieces]
@@ -302,10 +332,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 segment = DacSegment(data.as_py())
-                ids = segment.all_tokens().astype("<u4")
                 ends = np.cumsum(segment.counts)
                 starts = ends - segment.counts
-                pieces = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+                pieces = [
+                    segment.tokens(a, b).astype("<u4").tobytes()
+                    for a, b in zip(starts.tolist(), ends.tolist())
+                ]
                 columns = [
                     pa.array(segment.doc_ids, pa.int64()),
                     pa.array(starts + segment.start + before[bucket], pa.int64()),
