@@ -21,7 +21,7 @@ def pieces():
 def segmentations(pieces, word):
     if not word:
         yield []
-    for n in range(1, min(len(word), unigram.MAX_PIECE) + 1):
+    for n in range(1, len(word) + 1):
         if word[:n] in pieces.number:
             for rest in segmentations(pieces, word[n:]):
                 yield [pieces.number[word[:n]], *rest]
@@ -54,6 +54,43 @@ def test_long_words_agree(pieces, monkeypatch):
     assert np.isfinite(unigram.log_probabilities(pieces, [b" " + b"z" * 30_000], prob)).all()
 
 
+def test_every_piece_of_the_vocabulary_counts(pieces):
+    import base64
+
+    with open(PATH, "rb") as lines:
+        assert {base64.b64decode(line.split()[0]) for line in lines} <= set(pieces.number)
+    word = max((p for p in pieces.number if p.startswith(b" ") and p[1:].isalpha() and p[1:].islower()), key=len)
+    assert len(word) > 12
+    found = pieces.edges([word])
+    assert pieces.number[word] in found[3].tolist()
+    everywhere = {
+        (a, b) for a in range(len(word)) for b in range(a + 1, len(word) + 1) if word[a:b] in pieces.number
+    }
+    assert set(zip(found[1].tolist(), found[2].tolist())) == everywhere
+
+
+def test_rare_letters_after_large_counts(pieces):
+    """Probabilities of a hundred million counted pieces: no sum underflows, short or long."""
+    prob = np.full((2, len(pieces)), unigram.SMOOTHING)
+    prob[:, pieces.number[b" the"]] += [1e9, 2e9]
+    prob /= prob.sum(axis=1, keepdims=True)
+    words = [b" " + bytes([0xF3, 0xB1]) * 31, b" the", b" " + b"qz" * 300]
+    scores = unigram.log_probabilities(pieces, words, prob)
+    assert np.isfinite(scores).all()
+    assert scores[0, 0] - scores[0, 1] == pytest.approx(63 * log(2), rel=0.02)
+    uses = unigram.expected_counts(pieces, words, np.array([1, 1, 1]), prob[0])
+    assert np.isfinite(uses).all() and uses[pieces.number[b" the"]] == pytest.approx(1)
+    assert (uses * pieces.length).sum() == pytest.approx(sum(map(len, words)))
+
+
+def test_long_uses_agree(pieces, monkeypatch):
+    prob = np.random.default_rng(2).dirichlet(np.ones(len(pieces)))
+    words = [b" abcdefghijklmnopqrstuvwxyz", b" thethethe", b" q"]
+    whole = unigram.expected_counts(pieces, words, np.array([3, 2, 1]), prob)
+    monkeypatch.setattr(unigram, "LONG_WORD", 1)
+    assert unigram.expected_counts(pieces, words, np.array([3, 2, 1]), prob) == pytest.approx(whole)
+
+
 def test_query_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()
     lang = {r["doc_id"]: r["lang"] for r in docs}

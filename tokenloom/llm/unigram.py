@@ -35,52 +35,75 @@ from tokenloom.session import materialise
 FIT_DOCS = 800
 ROUNDS = 4
 SMOOTHING = 0.05
-MAX_PIECE = 12
 UNDETERMINED = "und"
 CACHED_WORDS = 300_000
 #: Probabilities are scaled by this factor per byte, so that whole words fit a double.
 PER_BYTE = 1000.0
-#: Longer words are passed over in steps of rescaled rows.
+#: Longer words, and those with sums below ``SMALLEST``, are passed over in rescaled steps.
 LONG_WORD = 64
+SMALLEST = 1e-250
+#: Words of more bytes are scored, but not learned from.
+TAUGHT_BYTES = 4096
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
-    """The pieces of a vocabulary file that can occur inside a word, and their numbers."""
+    """All pieces of a vocabulary file, their numbers, and a trie of those that fit into words."""
 
     def __init__(self, path: str):
-        found = set()
         with open(path, "rb") as lines:
-            for line in lines:
-                piece = base64.b64decode(line.split()[0])
-                if len(piece) <= MAX_PIECE and b" " not in piece[1:]:
-                    found.add(piece)
+            found = {base64.b64decode(line.split()[0]) for line in lines}
         found |= {bytes([b]) for b in range(256)}
-        self.number = {p: i for i, p in enumerate(sorted(found))}
-        self.length = np.array([len(p) for p in sorted(found)])
-        # Beginnings of pieces that are none themselves end no edge, but no search either.
-        begun = {p[:n] for p in found for n in range(1, len(p))}
-        self._search = dict.fromkeys(begun, -1) | self.number
+        ordered = sorted(found)
+        self.number = {p: i for i, p in enumerate(ordered)}
+        self.length = np.array([len(p) for p in ordered])
+        # A space stands in front of a word only; no other ASCII byte than these is in one.
+        inner = frozenset([*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)])
+        fit = [p for p in ordered if len(p) == 1 or inner.issuperset(p.removeprefix(b" "))]
+        self.longest = max(map(len, fit))
+        self._class = np.zeros(256, dtype=np.int64)
+        used = sorted({b for p in fit for b in p})
+        self._class[used] = np.arange(len(used))
+        node = {b"": 0}
+        for p in fit:
+            for n in range(1, len(p) + 1):
+                node.setdefault(p[:n], len(node))
+        #: Next node by node and class of the byte, 0 where there is none.
+        self._next = np.zeros((len(node), len(used)), dtype=np.int32)
+        #: Number of the piece that ends at a node, or -1.
+        self._piece = np.array([self.number.get(p, -1) for p in node], dtype=np.int32)
+        for p, at in node.items():
+            if p:
+                self._next[node[p[:-1]], self._class[p[-1]]] = at
 
     def __len__(self) -> int:
         return len(self.number)
 
     def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, start, end and piece of every piece that occurs in a word, by ends."""
-        find, out = self._search.get, []
-        for w, word in enumerate(words):
-            n = len(word)
-            for start in range(n):
-                for end in range(start + 1, n + 1):
-                    piece = find(word[start:end])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        out.append((w, start, end, piece))
-        found = np.array(out, dtype=np.int64).reshape(-1, 4)
-        found = found[np.argsort(found[:, 2], kind="stable")]
-        return tuple(found.T)
+        """Word, start, end and piece of every piece that occurs in a word, by end and start.
+
+        The trie is walked from all positions of all words at once.
+        """
+        sizes = np.array([len(x) for x in words])
+        first = np.cumsum(sizes) - sizes
+        letters = self._class[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        left = np.repeat(first + sizes, sizes)
+        begin = np.arange(len(letters))
+        node, found = np.zeros(len(letters), dtype=np.int32), []
+        at = begin
+        while len(at):
+            node = self._next[node, letters[at]]
+            piece = self._piece[node]
+            ends = (node > 0) & (piece >= 0)
+            found.append((begin[ends], at[ends] + 1, piece[ends]))
+            on = (node > 0) & (at + 1 < left[begin])
+            begin, node, at = begin[on], node[on], at[on] + 1
+        start, end, piece = (np.concatenate(column) for column in zip(*found))
+        word = np.repeat(np.arange(len(words)), sizes)[start]
+        start, end = start - first[word], end - first[word]
+        order = np.lexsort((start, end))
+        return word[order], start[order], end[order], piece[order].astype(np.int64)
 
 
 def word_bytes(text: str | None) -> list[bytes]:
@@ -91,68 +114,99 @@ def word_bytes(text: str | None) -> list[bytes]:
     return [b" " + w.encode("utf-8", "surrogatepass") for w in words]
 
 
+def _runs(major: np.ndarray, minor: np.ndarray) -> list[int]:
+    """Where the pair of values changes; between two such places every word occurs once."""
+    new = np.flatnonzero((np.diff(major) != 0) | (np.diff(minor) != 0)) + 1
+    return [0, *new.tolist(), len(major)]
+
+
 def _forward(words: list[bytes], edges: tuple, weight: np.ndarray) -> np.ndarray:
-    """Scaled sums over all segmentations of every prefix, ``[word, position, language]``.
+    """Scaled sums over all segmentations of every prefix, ``[position, word, language]``.
 
     ``weight`` is ``[edge, language]``.
     """
     w, start, end, _ = edges
-    longest = max(map(len, words))
-    alpha = np.zeros((len(words), longest + 1, weight.shape[1]))
-    alpha[:, 0] = 1.0
-    cuts = np.searchsorted(end, np.arange(1, longest + 2))
-    for at in range(longest):
-        a, b = cuts[at], cuts[at + 1]
-        np.add.at(alpha[:, at + 1], w[a:b], alpha[w[a:b], start[a:b]] * weight[a:b])
+    alpha = np.zeros((max(map(len, words)) + 1, len(words), weight.shape[1]))
+    alpha[0] = 1.0
+    cuts = _runs(end, start)
+    for a, b in zip(cuts, cuts[1:]):
+        alpha[end[a], w[a:b]] += alpha[start[a], w[a:b]] * weight[a:b]
     return alpha
 
 
 def _backward(words: list[bytes], edges: tuple, weight: np.ndarray) -> np.ndarray:
     """Scaled sums over all segmentations of every suffix."""
     w, start, end, _ = edges
-    longest = max(map(len, words))
     lengths = np.array([len(x) for x in words])
-    beta = np.zeros((len(words), longest + 1, weight.shape[1]))
-    beta[np.arange(len(words)), lengths] = 1.0
-    order = np.argsort(start, kind="stable")
+    beta = np.zeros((lengths.max() + 1, len(words), weight.shape[1]))
+    beta[lengths, np.arange(len(words))] = 1.0
+    order = np.lexsort((end, -start))
     w, start, end, weight = w[order], start[order], end[order], weight[order]
-    cuts = np.searchsorted(start, np.arange(longest + 1))
-    for at in range(longest - 1, -1, -1):
-        a, b = cuts[at], cuts[at + 1]
-        np.add.at(beta[:, at], w[a:b], beta[w[a:b], end[a:b]] * weight[a:b])
+    cuts = _runs(start, end)
+    for a, b in zip(cuts, cuts[1:]):
+        beta[start[a], w[a:b]] += beta[end[a], w[a:b]] * weight[a:b]
     return beta
 
 
+def _too_small(words: list[bytes], sums: np.ndarray) -> np.ndarray:
+    """Words with a sum near the smallest doubles at one of their positions."""
+    lengths = np.array([len(x) for x in words])
+    inside = np.arange(len(sums))[:, None] <= lengths
+    return ((sums.min(axis=2) < SMALLEST) & inside).any(axis=0)
+
+
 def _long_word(pieces: Pieces, word: bytes, scaled: np.ndarray) -> np.ndarray:
     """Logarithm of the scaled sum for one word of any length, rescaling as it goes."""
-    rows = [np.ones(scaled.shape[0])]
+    rows = np.zeros((pieces.longest + 1, scaled.shape[0]))
+    rows[0] = 1.0
     shift = np.zeros(scaled.shape[0])
-    for end in range(1, len(word) + 1):
-        total = np.zeros(scaled.shape[0])
-        for start in range(max(0, end - MAX_PIECE), end):
-            piece = pieces.number.get(word[start:end])
-            if piece is not None:
-                total += rows[start - end] * scaled[:, piece]
-        rows = [*rows[-MAX_PIECE + 1 :], total]
-        if end % 16 == 0:
-            top = np.max(rows, axis=0)
-            rows = [r / top for r in rows]
+    step = 4096
+    for at in range(0, len(word), step):
+        _, start, end, piece = pieces.edges([word[at : at + step + pieces.longest]])
+        order = np.argsort(start, kind="stable")
+        order = order[start[order] < step]
+        begin, size, piece = start[order], (end - start)[order], piece[order]
+        cuts = np.searchsorted(begin, np.arange(min(step, len(word) - at) + 1))
+        for a, b in zip(cuts, cuts[1:]):
+            rows[size[a:b]] += rows[0] * scaled[:, piece[a:b]].T
+            top = rows[1:].max(axis=0)
+            rows[:-1] = rows[1:] / top
+            rows[-1] = 0.0
             shift += np.log(top)
-    return np.log(rows[-1]) + shift
+    return np.log(rows[0]) + shift
+
+
+def _long_uses(pieces: Pieces, word: bytes, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and their expected uses in one word of one language, by sums of logarithms."""
+    _, start, end, piece = pieces.edges([word])
+    weight = np.log(scaled[piece])
+    before, after = np.full((2, len(word) + 1), -np.inf)
+    before[0] = after[-1] = 0.0
+    for i in range(len(piece)):
+        before[end[i]] = np.logaddexp(before[end[i]], before[start[i]] + weight[i])
+    for i in np.lexsort((end, -start)):
+        after[start[i]] = np.logaddexp(after[start[i]], after[end[i]] + weight[i])
+    return piece, np.exp(before[start] + weight + after[end] - after[0])
 
 
 def log_probabilities(pieces: Pieces, words: list[bytes], prob: np.ndarray) -> np.ndarray:
     """``[word, language]``: log of the sum over all segmentations. ``prob`` is ``[language, piece]``."""
-    scaled = prob * PER_BYTE ** pieces.length
+    scaled = prob * PER_BYTE ** np.minimum(pieces.length, pieces.longest)
+    weights = np.ascontiguousarray(scaled.T)
     out = np.zeros((len(words), prob.shape[0]))
     short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+    slow = sorted(set(range(len(words))).difference(short))
+    short.sort(key=lambda i: len(words[i]))
     for at in range(0, len(short), 4096):
-        chosen = sorted(short[at : at + 4096], key=lambda i: len(words[i]))
+        chosen = np.array(short[at : at + 4096])
         part = [words[i] for i in chosen]
         edges = pieces.edges(part)
-        alpha = _forward(part, edges, scaled.T[edges[3]])
-        out[chosen] = np.log(alpha[np.arange(len(part)), [len(w) for w in part]])
-    for i in set(range(len(words))) - set(short):
+        alpha = _forward(part, edges, weights[edges[3]])
+        small = _too_small(part, alpha)
+        last = alpha[[len(w) for w in part], np.arange(len(part))]
+        out[chosen[~small]] = np.log(last[~small])
+        slow += chosen[small].tolist()
+    for i in slow:
         out[i] = _long_word(pieces, words[i], scaled)
     return out - np.array([len(w) for w in words])[:, None] * np.log(PER_BYTE)
 
@@ -162,17 +216,24 @@ def expected_counts(
 ) -> np.ndarray:
     """Expected uses of every piece over all segmentations of counted words of one language."""
     total = np.zeros(len(pieces))
-    scaled = prob * PER_BYTE ** pieces.length
-    order = [i for i in np.argsort([len(w) for w in words]) if len(words[i]) <= LONG_WORD]
+    scaled = prob * PER_BYTE ** np.minimum(pieces.length, pieces.longest)
+    sizes = [len(w) for w in words]
+    order = [i for i in np.argsort(sizes) if sizes[i] <= LONG_WORD]
+    slow = [i for i, size in enumerate(sizes) if LONG_WORD < size <= TAUGHT_BYTES]
     for at in range(0, len(order), 4096):
-        chosen = order[at : at + 4096]
+        chosen = np.array(order[at : at + 4096])
         part = [words[i] for i in chosen]
         edges = pieces.edges(part)
         weight = scaled[edges[3]][:, None]
         alpha, beta = _forward(part, edges, weight), _backward(part, edges, weight)
-        w, start, end, piece = edges
-        use = alpha[w, start, 0] * weight[:, 0] * beta[w, end, 0] / beta[w, 0, 0]
-        np.add.at(total, piece, use * counts[chosen][w])
+        small = _too_small(part, alpha) | _too_small(part, beta)
+        slow += chosen[small].tolist()
+        w, start, end, piece = (column[~small[edges[0]]] for column in edges)
+        use = alpha[start, w, 0] * scaled[piece] * beta[end, w, 0] / beta[0, w, 0]
+        total += np.bincount(piece, use * counts[chosen][w], len(total))
+    for i in slow:
+        piece, use = _long_uses(pieces, words[i], scaled)
+        total += np.bincount(piece, use * counts[i], len(total))
     return total
 
 
@@ -240,17 +301,20 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, prob = shared.value
         number: dict[bytes, int] = {}
-        rows = np.zeros((0, len(langs)))
+        rows = np.zeros((1 << 16, len(langs)))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [word_bytes(t) for t in part.column(1).to_pylist()]
                 if len(number) > CACHED_WORDS:
-                    number, rows = {}, np.zeros((0, len(langs)))
+                    number = {}
                 new = list({w for words in texts for w in words if w not in number})
-                if new:
-                    rows = np.concatenate([rows, log_probabilities(pieces, new, prob)])
-                    number.update(zip(new, range(len(number), len(number) + len(new))))
+                if new and langs:
+                    size = len(number) + len(new)
+                    if size > len(rows):
+                        rows = np.concatenate([rows, np.zeros((max(len(rows), len(new)), len(langs)))])
+                    rows[len(number) : size] = log_probabilities(pieces, new, prob)
+                    number.update(zip(new, range(len(number), size)))
                 best, scores = [], []
                 for words in texts:
                     if not words or not langs:
