@@ -55,22 +55,28 @@ class Pieces:
         with open(path, "rb") as lines:
             found = {base64.b64decode(line.split()[0]) for line in lines}
         found |= {bytes([b]) for b in range(256)}
-        ordered = sorted(found)
+        self.__setstate__(sorted(found))
+
+    def __getstate__(self) -> list[bytes]:
+        """Only the pieces travel; a worker builds the trie anew."""
+        return list(self.number)
+
+    def __setstate__(self, ordered: list[bytes]) -> None:
         self.number = {p: i for i, p in enumerate(ordered)}
         self.length = np.array([len(p) for p in ordered])
         # A space stands in front of a word only; no other ASCII byte than these is in one.
         inner = frozenset([*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)])
-        fit = [p for p in ordered if len(p) == 1 or inner.issuperset(p.removeprefix(b" "))]
+        fit = [p for p in ordered if inner.issuperset(p.removeprefix(b" "))]
         self.longest = max(map(len, fit))
         self._class = np.zeros(256, dtype=np.int64)
         used = sorted({b for p in fit for b in p})
-        self._class[used] = np.arange(len(used))
+        self._class[used] = np.arange(1, len(used) + 1)
         node = {b"": 0}
         for p in fit:
             for n in range(1, len(p) + 1):
                 node.setdefault(p[:n], len(node))
         #: Next node by node and class of the byte, 0 where there is none.
-        self._next = np.zeros((len(node), len(used)), dtype=np.int32)
+        self._next = np.zeros((len(node), len(used) + 1), dtype=np.int32)
         #: Number of the piece that ends at a node, or -1.
         self._piece = np.array([self.number.get(p, -1) for p in node], dtype=np.int32)
         for p, at in node.items():
