@@ -51,6 +51,23 @@ def test_subject_files(spark, subject_root):
     assert items[1]["candidates"] == [" A. w", " B. ", " C. y", " D. z"]
 
 
+def test_rejected_rows_are_kept_apart(spark, tmp_path):
+    folder = tmp_path / "in" / "test"
+    folder.mkdir(parents=True)
+    (folder / "management_test.csv").write_text('q,a,b,c,d, B\nshort,a,b,c,d\n"odd\nline",a,b,c,d,E\nlong,a,b,c,d,A,more\n')
+    (folder / "astronomy_test.csv").write_text("x,a,b,c,d,A\n")
+    judged = benchmarks.judged_subjects(spark, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    assert benchmarks.store_judged(judged, out) == {"rows": 4, "fields": 1, "answer": 1}
+    rejects = spark.read.parquet(f"{out}/rejected=true").collect()
+    assert {(r["question"], r["reject"], r["file"]) for r in rejects} == {
+        ("short", "fields", "management_test.csv"), ("odd\nline", "answer", "management_test.csv")
+    }
+    assert [r["record"] for r in rejects if r["reject"] == "fields"] == ["short,a,b,c,d"]
+    items = benchmarks.with_item_ids(spark.read.parquet(f"{out}/rejected=false"))
+    assert sorted(r["label"] for r in choices.subject_items(items).collect()) == [0, 1]
+
+
 def test_unknown_answer_letter_is_an_error(spark):
     row = [("x", "management", "q", "a", "b", "c", "d", "E")]
     df = spark.createDataFrame(row, "item_id string, subject string, question string, a string, b string, c string, d string, answer string")

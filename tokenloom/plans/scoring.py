@@ -118,28 +118,59 @@ def mcq_subject_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("answer", _by_id(LETTERS))
         .select("subject", "question", "a", "b", "c", "d", "answer")
     )
-    root = scratch_path(spark, "subjects")
-    rows.write.partitionBy("subject").csv(
-        f"{root}/raw",
-        quoteAll=True,
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
-    return _items_view(
-        benchmarks.benchmark("mmlu").to_items(
-            benchmarks.with_item_ids(_subject_folders(spark, root))
-        )
-    )
+    cells = [_csv_cell(c) for c in ("question", "a", "b", "c", "d", "answer")]
+    root = _subject_files(spark, rows.select("subject", F.concat_ws(",", *cells).alias("line")))
+    return _items_view(benchmarks.read_items(spark, "mmlu", root))
 
 
-def _subject_folders(spark: SparkSession, root: str) -> DataFrame:
-    """Spark names its own files, so here the folder carries the subject."""
-    return (
-        benchmarks.subject_csv(spark)
-        .schema(benchmarks.SUBJECT_SCHEMA + ", subject STRING")
-        .csv(f"{root}/raw")
-        .where(F.col("answer").isNotNull() & F.col("subject").isin(fv.CURATED_SUBJECTS))
+def _csv_cell(name: str) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.col(name), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _subject_files(spark: SparkSession, lines: DataFrame) -> str:
+    """Store ``(subject, line)`` as ``test/<subject>_test.csv``, one job for each of the few names."""
+    root = scratch_path(spark, "subjects")
+    stored = materialise(lines, "subject-lines")
+    for subject in SUBJECTS:
+        own = stored.where(F.col("subject") == subject).select("line")
+        own.write.text(f"{root}/test/{subject}_test.csv")
+    return root
+
+
+REJECT_SQL = f"""
+SELECT subject, subject || '_test.csv' AS file, item_id % 11 = 0 OR item_id % 13 = 0 AS rejected,
+       CASE WHEN item_id % 11 = 0 THEN 'fields' WHEN item_id % 13 = 0 THEN 'answer' END AS reject,
+       md5(question || chr(31) || a || chr(31) || d) AS content_md5,
+       (SELECT count(*) FROM rows WHERE subject <> 'astronomy') AS n_rows,
+       (SELECT count(*) FROM rows WHERE subject <> 'astronomy' AND item_id % 11 = 0) AS n_fields,
+       (SELECT count(*) FROM rows WHERE subject <> 'astronomy' AND item_id % 11 <> 0 AND item_id % 13 = 0) AS n_answer
+FROM rows WHERE subject <> 'astronomy'"""
+
+
+@query(f"WITH {FOUR_SQL},{SUBJECT_SQL} {REJECT_SQL}")
+def mcq_subject_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and rejects of files in which some rows lack the answer and some name no choice."""
+    short, odd = F.col("item_id") % 11 == 0, F.col("item_id") % 13 == 0
+    rows = (
+        _four_choices(spark, sf_dir)
+        .withColumn("subject", _by_id(SUBJECTS))
+        .withColumn("answer", F.when(odd, F.lit("E")).otherwise(_by_id(LETTERS)))
+    )
+    texts = [_csv_cell(c) for c in ("question", "a", "b", "c", "d")]
+    answer = F.when(~short, _csv_cell("answer"))  # a null leaves the field out
+    root = _subject_files(spark, rows.select("subject", F.concat_ws(",", *texts, answer).alias("line")))
+    path = scratch_path(spark, "judged-subjects")
+    seen = benchmarks.store_judged(benchmarks.judged_subjects(spark, root), path)
+    stored = spark.read.parquet(path)
+    return stored.select(
+        "subject",
+        "file",
+        F.col("rejected").cast("boolean").alias("rejected"),
+        "reject",
+        F.md5(F.concat_ws("\x1f", "question", "a", "d")).alias("content_md5"),
+        F.lit(seen["rows"]).alias("n_rows"),
+        F.lit(seen["fields"]).alias("n_fields"),
+        F.lit(seen["answer"]).alias("n_answer"),
     )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
+from tokenloom.functions.text import py_strip
 from tokenloom.operators import choices
 
 COMPLETION_SCHEMA = (
@@ -53,24 +54,62 @@ def read_subjects(
 ) -> DataFrame:
     """``<root>/<split>/<subject>_<split>.csv`` files, subject taken from the file name.
 
-    ``None`` means the curated subjects, ``"all"`` every file. The file pattern and
-    a filter on the name do the selection, so a subject without a file is simply
-    absent. Rows with fewer than six fields are dropped.
+    A subject's file may be a folder of parts, as Spark writes it. ``None`` means the curated
+    subjects, ``"all"`` every file. The file pattern and a filter on the name do the
+    selection, so a subject without a file is simply absent. Rows with fewer than six
+    fields are dropped; ``judged_subjects`` keeps them.
     """
+    rows = judged_subjects(spark, root, split, subjects)
+    return rows.where(F.col("answer").isNotNull()).drop("file", "record", "reject")
+
+
+def judged_subjects(
+    spark: SparkSession,
+    root: str,
+    split: str = "test",
+    subjects: list[str] | str | None = None,
+) -> DataFrame:
+    """Every row of the question files with its ``file``, and why it cannot be an item.
+
+    ``reject`` is ``fields`` for a row with fewer than six fields, ``answer`` for one whose
+    answer is none of the letters, else null. ``record`` holds the text of a row that does
+    not have exactly six fields. Fields beyond the sixth are ignored.
+    """
+    pattern = f"{root.rstrip('/')}/{split}/*_{split}.csv"
     rows = (
         subject_csv(spark)
-        .schema(SUBJECT_SCHEMA)
-        .option("pathGlobFilter", f"*_{split}.csv")
-        .csv(f"{root.rstrip('/')}/{split}")
+        .schema(f"{SUBJECT_SCHEMA}, record STRING")
+        .option("columnNameOfCorruptRecord", "record")
+        .csv(pattern)
+    )
+    file = F.regexp_extract(F.col("_metadata.file_path"), f"([^/]+_{split}\\.csv)(/[^/]*)?$", 1)
+    letter = py_strip(F.col("answer"))
+    reject = F.when(F.col("answer").isNull(), "fields").when(
+        ~letter.isin(fv.CHOICE_LETTERS), "answer"
+    )
+    tagged = rows.select("*", file.alias("file"), reject.alias("reject")).withColumn(
+        "subject", F.regexp_extract("file", f"^(.*)_{split}\\.csv$", 1)
     )
-    name = F.col("_metadata.file_name")
-    subject = F.regexp_extract(name, f"^(.*)_{split}\\.csv$", 1)
-    tagged = rows.select("*", subject.alias("subject")).where(F.col("answer").isNotNull())
     if subjects == "all":
         return tagged
     return tagged.where(F.col("subject").isin(subjects or fv.CURATED_SUBJECTS))
 
 
+def store_judged(judged: DataFrame, path: str) -> dict[str, int]:
+    """Items and rejects in two folders, and their numbers, from one scan of the files.
+
+    ``<path>/rejected=false`` holds what ``choices.subject_items`` takes, ``rejected=true`` the
+    quarantine with file, record and reason. The counters are observed while rows are written.
+    """
+    seen = Observation()
+    counters = [F.count(F.lit(1)).alias("rows")] + [
+        F.count_if(F.col("reject") == reason).alias(reason) for reason in ("fields", "answer")
+    ]
+    marked = judged.withColumn("rejected", F.col("reject").isNotNull()).observe(seen, *counters)
+    marked.write.partitionBy("rejected").parquet(path)
+    return seen.get
+
+
 def with_item_ids(rows: DataFrame) -> DataFrame:
     """Number items by content where the format gives them no identity."""
     content = F.concat_ws("\x1f", "subject", "question", "a", "b", "c", "d", "answer")
