@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,22 @@ def test_sized_corpus(spark, tmp_path):
     assert corpus.read_sized_corpus(spark, str(tmp_path)).count() == 1
     with pytest.raises(ValueError):
         corpus.read_sized_corpus(spark, str(tmp_path), "1BT")
+
+
+def test_step_times_add_up_after_every_append(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(f"r{i % 2}", None if i % 17 == 0 else float(t)) for i, t in enumerate(rng.integers(1, 400, 600))]
+    path, shares = str(tmp_path / "times"), {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    for n, part in enumerate(["a", "b", "c", "c"]):
+        at = min(n, 2) * 200
+        piece = spark.createDataFrame(rows[at : at + 200], "run string, dt_ms double")
+        logs.append_step_times(piece, path, part)
+        found = metrics.speed_summary(logs.read_step_times(spark, path), 1000, shares).collect()
+        for run in found:
+            times = np.array([t for r, t in rows[: at + 200] if r == run["run"] and t is not None])
+            assert run["n_steps"] == len(times)
+            assert run["tokens_per_sec"] == pytest.approx(1e6 * len(times) / times.sum())
+            for name, share in shares.items():
+                assert run[name] == pytest.approx(np.quantile(times, share))
+    empty = spark.createDataFrame([], "run string, dt_ms double")
+    assert metrics.speed_summary(metrics.step_times(empty), 1000, shares).count() == 0

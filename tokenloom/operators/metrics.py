@@ -107,6 +107,33 @@ def run_speed(log: DataFrame, tokens: int, parameters: int, world: int) -> DataF
     )
 
 
+def step_times(log: DataFrame) -> DataFrame:
+    """How often each run took each whole number of milliseconds for a step.
+
+    ``(run, dt_ms, n)``: one row per run and distinct time, however many steps there are.
+    Such tables of several parts of a log add up (``sources.logs.read_step_times``). Steps
+    without a time do not count; times are rounded to the nearest whole number.
+    """
+    whole = F.round(F.col("dt_ms").cast("double")).cast("bigint")
+    timed = log.select("run", whole.alias("dt_ms")).where(F.col("dt_ms").isNotNull())
+    return timed.groupBy("run", "dt_ms").agg(F.count(F.lit(1)).alias("n"))
+
+
+def speed_summary(times: DataFrame, tokens: int, shares: dict[str, float]) -> DataFrame:
+    """Steps, mean tokens per second and percentiles of the step time of every run.
+
+    The mean is all tokens over all time; ``shares`` names the percentiles, which are exact.
+    Null where a run took no time at all.
+    """
+    total = F.sum(F.col("dt_ms") * F.col("n"))
+    found = [F.percentile("dt_ms", F.lit(share), F.col("n")).alias(name) for name, share in shares.items()]
+    return times.groupBy("run").agg(
+        F.sum("n").alias("n_steps"),
+        F.try_divide(F.sum("n") * F.lit(1000.0 * tokens), total).alias("tokens_per_sec"),
+        *found,
+    )
+
+
 def rounded_log(log: DataFrame) -> DataFrame:
     """Text form of a log row: fixed digits per column, empty where nothing was measured."""
 

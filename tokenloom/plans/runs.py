@@ -214,6 +214,30 @@ def throughput_mfu(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARES = {"dt_p50": 0.5, "dt_p95": 0.95}
+
+
+@query(
+    f"""WITH t AS (SELECT 'run' || (user_id % 3) AS run, 1 + round(value)::BIGINT AS dt_ms FROM events)
+SELECT run, count(*) AS n_steps, round(count(*) * 1000.0::DOUBLE * {fv.TOTAL_BATCH_TOKENS} / sum(dt_ms), 2) AS tokens_per_sec,
+       round(quantile_cont(dt_ms::DOUBLE, 0.5), 6) AS dt_p50, round(quantile_cont(dt_ms::DOUBLE, 0.95), 6) AS dt_p95
+FROM t GROUP BY 1"""
+)
+def run_speed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that arrives in four parts, one of them twice; only its step times are kept."""
+    log = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.lit("run"), (F.col("user_id") % 3).cast("string")).alias("run"),
+        (F.lit(1) + F.round("value")).alias("dt_ms"),
+    )
+    path = scratch_path(spark, "step-times")
+    for part in (0, 1, 2, 3, 1):
+        logs.append_step_times(log.where(F.col("event_id") % 4 == part), path, str(part))
+    found = metrics.speed_summary(logs.read_step_times(spark, path), fv.TOTAL_BATCH_TOKENS, SHARES)
+    rounded = [F.round(name, 6).alias(name) for name in SHARES]
+    return found.select("run", "n_steps", F.round("tokens_per_sec", 2).alias("tokens_per_sec"), *rounded)
+
+
 # ---------------------------------------------------------------------------------------
 # Streams over the same tables, drained with ``availableNow``.
 

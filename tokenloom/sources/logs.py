@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
-from tokenloom.operators.metrics import long_from_lines, long_from_wide, rounded_log
+from tokenloom.operators.metrics import long_from_lines, long_from_wide, rounded_log, step_times
 
 
 def log_schema(columns: list[str] = fv.PRETRAIN_LOG_COLUMNS) -> str:
@@ -111,3 +111,14 @@ def read_runs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 def append_log(log: DataFrame, path: str) -> None:
     """Append rows in their text form, with a header in every file."""
     rounded_log(log).write.mode("append").csv(path, header=True, emptyValue="")
+
+
+def append_step_times(log: DataFrame, path: str, part: str) -> None:
+    """Store the step times of one part of a log; the same part again takes its own place."""
+    step_times(log).write.mode("overwrite").parquet(f"{path}/part={part}")
+
+
+def read_step_times(spark: SparkSession, path: str) -> DataFrame:
+    """``(run, dt_ms, n)`` over all stored parts; no log is read again."""
+    parts = spark.read.schema("run STRING, dt_ms BIGINT, n BIGINT, part STRING").parquet(path)
+    return parts.groupBy("run", "dt_ms").agg(F.sum("n").alias("n"))
