@@ -14,7 +14,7 @@ from tokenloom.operators.tokenizers import ByteTokenizer
 from tokenloom.plans import sqltext as q
 from tokenloom.plans.catalog import documents, query, table
 from tokenloom.session import materialise, scratch_path
-from tokenloom.sources import registry, reports
+from tokenloom.sources import prepare, registry, reports
 from tokenloom.sources.shards import read_example_shards, write_example_shards
 
 BYTES = ByteTokenizer()
@@ -844,3 +844,108 @@ def preview_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     table_ = materialise(counted, "preview-table")
     return reports.preview_lines(table_).select("section", "line")
+
+
+# ---------------------------------------------------------------------------------------
+# The whole preparation as one job, over all sources: filter with language, cap, split, shards
+# written and read back, metadata with the values used, and the report of the stored folder.
+
+MIX_CAP = 40
+PREPARED_SQL = f"""{REASONS_SQL},
+ranked AS (
+  SELECT *, coalesce(sum((skip_reason IS NULL)::INT) OVER (
+        PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM reasons),
+capped AS (SELECT * FROM ranked WHERE before < {MIX_CAP}),
+counters AS (
+  SELECT source, count(*) FILTER (skip_reason IS NULL) AS kept,
+         count(*) FILTER (skip_reason = 'lang') AS skipped_not_english,
+         count(*) FILTER (skip_reason = 'len') AS skipped_too_long_or_short,
+         count(*) FILTER (skip_reason = 'fmt') AS skipped_format FROM capped GROUP BY 1),
+kept_rows AS (
+  SELECT source, ord, instruction, context, response, p, r, n
+  FROM mix JOIN capped USING (source, ord) WHERE skip_reason IS NULL),
+{q.split_rows('kept_rows', ROWS_PER_SHARD)},
+sizes AS (
+  SELECT count(*) FILTER (split = 'train') AS train_examples,
+         count(DISTINCT shard_id) FILTER (split = 'train') AS train_shards,
+         count(*) FILTER (split = 'val') AS val_examples,
+         count(DISTINCT shard_id) FILTER (split = 'val') AS val_shards FROM rows)"""
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "prepared-mix")
+    prepare.prepare_mix(
+        materialise(_mix(spark, sf_dir), "mix"), BYTES, path,
+        profile=langid.train_profile(_documents(spark, sf_dir)),
+        cap=MIX_CAP, rows_per_shard=ROWS_PER_SHARD,
+    )
+    return path
+
+
+@query(
+    f"""WITH {PREPARED_SQL}
+SELECT split, shard_id::BIGINT AS shard_id, row_id::BIGINT AS row_id, rows.source,
+       p::BIGINT AS prompt_len, n::BIGINT AS n_tokens, r::BIGINT AS n_masked,
+       {q.md5_list(f"[x FOR x IN {q.byte_list(q.prompt('instruction', 'context'))}] || {q.byte_list(S('response'))} || [256]")} AS tokens_md5,
+       kept, skipped_not_english, skipped_too_long_or_short, skipped_format,
+       {ROWS_PER_SHARD} AS shard_size, {fv.SEQUENCE_TOKENS} AS sequence_length, sizes.*
+FROM rows JOIN counters ON counters.source = rows.source, sizes"""
+)
+def sft_prepare_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored row with what the stored metadata says of its source and of the whole.
+
+    The cap per source is the feature.
+    """
+    path = _prepared(spark, sf_dir)
+    metadata = prepare.prepared_metadata(spark, path)
+    described = metadata.select(
+        F.explode("per_dataset_stats").alias("source", "stats"),
+        "shard_size", "sequence_length", "train", "val",
+    ).select(
+        "source", "stats.*", "shard_size", "sequence_length",
+        *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("train", "val") for c in ("examples", "shards")],
+    )
+    stored = prepare.prepared_examples(spark, path).select(
+        "split", "source",
+        *[F.col(c).cast("bigint").alias(c) for c in ("shard_id", "row_id", "prompt_len", "n_tokens")],
+        F.size(F.filter("mask", lambda m: m == 1)).cast("bigint").alias("n_masked"),
+        digest(F.col("tokens")).alias("tokens_md5"),
+    )
+    # One row for each registered source.
+    return stored.join(F.broadcast(described), "source")
+
+
+@query(
+    f"""WITH {PREPARED_SQL},
+chosen AS (SELECT *, shard_id * {ROWS_PER_SHARD} + row_id AS idx FROM rows),
+melted AS (
+  SELECT split, 'total_tokens' AS c, (n - 1)::BIGINT AS v FROM chosen
+  UNION ALL SELECT split, 'prompt_tokens', p FROM chosen
+  UNION ALL SELECT split, 'response_tokens', r FROM chosen),
+by_source AS (SELECT split, source, count(*) AS k, count(*) OVER (PARTITION BY split) AS n_sources
+              FROM chosen GROUP BY 1, 2),
+picked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (
+      PARTITION BY split, source ORDER BY md5('{fv.SAMPLE_SEED}-' || idx)) AS k FROM chosen)
+  WHERE k <= {fv.SAMPLE_PER_SOURCE})
+SELECT 0 AS section, '' AS split, unnest([
+    'Block size       : {fv.WINDOW_TOKENS}', 'Sequence length  : {fv.SEQUENCE_TOKENS}',
+    'Shard size       : {ROWS_PER_SHARD}', 'Min response tok : {fv.MIN_RESPONSE_TOKENS}',
+    'Train examples   : ' || train_examples || '  (' || train_shards || ' shards)',
+    'Val examples     : ' || val_examples || '  (' || val_shards || ' shards)']) AS line FROM sizes
+UNION ALL SELECT 1, '', rpad(source, 22, ' ') || ' ' || lpad(format('{{:,}}', kept), 7, ' ') || ' ' ||
+  lpad(format('{{:,}}', skipped_not_english), 10, ' ') || ' ' || lpad(format('{{:,}}', skipped_too_long_or_short), 10, ' ')
+FROM counters
+UNION ALL SELECT 2, split, printf('%-20s mean=%6.1f median=%6.1f min=%4d max=%4d', c, avg(v), median(v), min(v), max(v))
+FROM melted GROUP BY split, c
+UNION ALL SELECT 3, split, rpad(source, 22, ' ') || ' ' || lpad(format('{{:,}}', k), 6, ' ') FROM by_source WHERE n_sources > 1
+UNION ALL SELECT 4, split, '[' || source || ']  #' || idx || '  total=' || (n - 1) || ' tok  (prompt=' || p ||
+  ' | response=' || r || ')' || chr(10) || 'INSTRUCTION:' || chr(10) || {S('instruction')} || chr(10) || chr(10) ||
+  CASE WHEN {S('context')} <> '' THEN 'INPUT:' || chr(10) || {S('context')} || chr(10) || chr(10) ELSE '' END ||
+  'RESPONSE:' || chr(10) || {S('response')} FROM picked"""
+)
+def sft_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a prepared folder, from its stored rows and metadata alone."""
+    report = prepare.prepared_report(spark, BYTES, _prepared(spark, sf_dir))
+    return report.select("section", "split", "line")

@@ -110,6 +110,37 @@ def metric_wide_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_runs(spark, paths).withColumn("value", F.round("value", 6))
 
 
+@query(
+    f"""WITH {LONG_SQL} SELECT run, stream, step, round(value, 6) AS value FROM long
+WHERE stream <> '{fv.STREAM_OF_COLUMN["hellaswag"]}'"""
+)
+def metric_sft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of fine-tuning runs: seven columns, read by the same reader."""
+    wide = _wide_log(spark, sf_dir)
+    paths = {}
+    for run in RUNS:
+        paths[run] = scratch_path(spark, run) + ".csv"
+        logs.append_log(wide.where(F.col("run") == run).select(*fv.SFT_LOG_COLUMNS), paths[run])
+    return logs.read_runs(spark, paths).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH {LONG_SQL} SELECT run, stream, step, round(value, 6) AS value FROM long
+WHERE step >= 60 OR stream <> '{fv.STREAM_OF_COLUMN["hellaswag"]}'"""
+)
+def metric_reordered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log whose files differ: seven columns, then all of them sorted by name with one more that is no metric."""
+    wide = _wide_log(spark, sf_dir)
+    paths = {}
+    for run in RUNS:
+        paths[run] = scratch_path(spark, run) + ".csv"
+        part = wide.where(F.col("run") == run)
+        logs.append_log(part.where(F.col("step") < 60).select(*fv.SFT_LOG_COLUMNS), paths[run])
+        later = part.where(F.col("step") >= 60).withColumn("epoch", F.lit(1.0))
+        logs.append_log(later.select(*sorted(c for c in later.columns if c != "run")), paths[run])
+    return logs.read_runs(spark, paths).withColumn("value", F.round("value", 6))
+
+
 @query(
     f"""SELECT 'all' AS run, {STREAM_CASE} AS stream, event_id // 50 AS step,
        arg_max(value, event_id) AS value FROM events GROUP BY 2, 3"""

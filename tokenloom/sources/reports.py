@@ -24,8 +24,18 @@ METADATA_SCHEMA = (
 )
 
 
-def mix_metadata(stats: DataFrame, rows: DataFrame, elapsed_s: float = 0.0) -> DataFrame:
-    """One row that describes a prepared mix.
+def mix_metadata(
+    stats: DataFrame,
+    rows: DataFrame,
+    elapsed_s: float = 0.0,
+    *,
+    seed: int = fv.MIX_SEED,
+    sequence_tokens: int = fv.SEQUENCE_TOKENS,
+    fraction: float = fv.HOLDOUT_FRACTION,
+    rows_per_shard: int = fv.ROWS_PER_SHARD,
+    min_response: int = fv.MIN_RESPONSE_TOKENS,
+) -> DataFrame:
+    """One row that describes a prepared mix, with the values it was prepared by.
 
     ``stats`` has one row per source, so the map below holds as many entries as
     there are registered sources. ``rows`` is the table of example shards.
@@ -48,12 +58,12 @@ def mix_metadata(stats: DataFrame, rows: DataFrame, elapsed_s: float = 0.0) -> D
 
     sizes = rows.agg(F.struct(count("train").alias("train"), count("val").alias("val")).alias("s"))
     return named.withColumn("_s", sizes.scalar()).select(
-        F.lit(fv.MIX_SEED).alias("seed"),
-        F.lit(fv.WINDOW_TOKENS).alias("block_size"),
-        F.lit(fv.SEQUENCE_TOKENS).alias("sequence_length"),
-        F.lit(fv.HOLDOUT_FRACTION).alias("val_size"),
-        F.lit(fv.ROWS_PER_SHARD).alias("shard_size"),
-        F.lit(fv.MIN_RESPONSE_TOKENS).alias("min_response_tokens"),
+        F.lit(seed).alias("seed"),
+        F.lit(sequence_tokens - 1).alias("block_size"),
+        F.lit(sequence_tokens).alias("sequence_length"),
+        F.lit(fraction).alias("val_size"),
+        F.lit(rows_per_shard).alias("shard_size"),
+        F.lit(min_response).alias("min_response_tokens"),
         "datasets_used",
         "per_dataset_stats",
         F.col("_s.train").alias("train"),
@@ -187,6 +197,46 @@ def preview_lines(
     return reduce(lambda a, b: a.unionByName(b), sections)
 
 
+def metadata_lines(metadata: DataFrame) -> DataFrame:
+    """``(part, line)``: the values of a prepared mix, one line each."""
+    sized = lambda s: F.format_string("%d  (%d shards)", f"{s}.examples", f"{s}.shards")
+    values = {
+        "Block size": F.col("block_size").cast("string"),
+        "Sequence length": F.col("sequence_length").cast("string"),
+        "Shard size": F.col("shard_size").cast("string"),
+        "Min response tok": F.col("min_response_tokens").cast("string"),
+        "Train examples": sized("train"),
+        "Val examples": sized("val"),
+    }
+    lines = F.array(
+        *[
+            F.struct(
+                F.lit(f"{i:02d}").alias("part"),
+                F.concat(F.lit(f"{name:<17}: "), value).alias("line"),
+            )
+            for i, (name, value) in enumerate(values.items())
+        ]
+    )
+    return metadata.select(F.explode(lines).alias("l")).select("l.part", "l.line")
+
+
+def split_report(
+    table: DataFrame, metadata: DataFrame, n_per_source: int = fv.SAMPLE_PER_SOURCE
+) -> DataFrame:
+    """``(section, split, part, line)``: values and counters of the mix, then each split's own report.
+
+    Section 0 holds the values used, 1 the counters per source; 2 to 4 are those of
+    ``preview_lines`` for the rows of one split. ``table`` is read for each section: store it first.
+    """
+    lines = metadata_lines(metadata).withColumn("section", F.lit(0)).withColumn("split", F.lit(""))
+    for name in ("train", "val"):
+        rows = table.where(F.col("split") == name).drop("split")
+        own = preview_lines(rows, n_per_source, metadata if name == "train" else None)
+        shared = F.when(F.col("section") == 1, F.lit("")).otherwise(F.lit(name))
+        lines = lines.unionByName(own.withColumn("split", shared))
+    return lines.select("section", "split", "part", "line")
+
+
 def write_preview(lines: DataFrame, path: str) -> None:
     """One text file: the report is as long as the number of sources, not the data."""
     lines.repartitionByRange(1, "section", "part").sortWithinPartitions("section", "part").select(
