@@ -63,6 +63,32 @@ def within(placed: DataFrame, end: int, begin: int = 0) -> DataFrame:
     )
 
 
+def two_way_split(placed: DataFrame, tokenizer: Tokenizer, share: float = 0.9) -> DataFrame:
+    """A placed stream as one training and one validation shard: the first ``share`` of its tokens trains.
+
+    Rows are ``(split, shard_id, shard_pos, doc_id, tokens)``, ready to be stored. The document
+    at the boundary is cut in two; the boundary travels with the rows as ``stream_tokens``.
+    """
+    cut = F.floor(F.col("stream_tokens") * F.lit(float(share))).cast("bigint")
+    begin, end = F.col("start"), F.col("start") + F.col("n_tokens")
+    parts = F.array(
+        F.struct(F.lit("train").alias("split"), begin.alias("lo"), F.least(end, cut).alias("hi"), F.lit(0).cast("bigint").alias("base")),
+        F.struct(F.lit("val").alias("split"), F.greatest(begin, cut).alias("lo"), end.alias("hi"), cut.alias("base")),
+    )
+    cells = placed.select("*", F.explode(F.filter(parts, lambda p: p["lo"] < p["hi"])).alias("part"))
+    if "tokens" not in cells.columns:
+        cells = tokenise_corpus(cells, tokenizer)
+    first = (F.col("part.lo") - F.col("start") + 1).cast("int")
+    width = (F.col("part.hi") - F.col("part.lo")).cast("int")
+    return cells.select(
+        "part.split",
+        F.lit(0).cast("bigint").alias("shard_id"),
+        (F.col("part.lo") - F.col("part.base")).alias("shard_pos"),
+        "doc_id",
+        F.slice("tokens", first, width).alias("tokens"),
+    )
+
+
 def split_of_shard(shard_id: Column) -> Column:
     """The first shard is held out; a stream of one shard has no training part."""
     return F.when(shard_id == 0, F.lit("val")).otherwise(F.lit("train"))

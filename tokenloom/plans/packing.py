@@ -13,9 +13,9 @@ from tokenloom.operators import pack, windows
 from tokenloom.operators.quality import id_range, shards_before_gap
 from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
 from tokenloom.plans import sqltext as q
-from tokenloom.plans.catalog import query
+from tokenloom.plans.catalog import documents, query
 from tokenloom.session import materialise, scratch_path, spread
-from tokenloom.sources.corpus import read_corpus, with_file_ordinal
+from tokenloom.sources.corpus import read_corpus, read_text_corpus, with_file_ordinal
 from tokenloom.sources.shards import (
     fragments_at,
     read_token_shards,
@@ -463,3 +463,33 @@ def served_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard_id",
         "win",
     )
+
+
+@query(
+    f"""WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text || chr(10) AS text FROM documents),
+sized AS (
+  SELECT doc_id, text, (strlen(text) + 1)::BIGINT AS n,
+         (sum(strlen(text) + 1) OVER (ORDER BY doc_id) - strlen(text) - 1)::BIGINT AS s,
+         (sum(strlen(text) + 1) OVER ())::BIGINT AS total FROM docs),
+cut AS (SELECT *, floor(total * 0.9::DOUBLE)::BIGINT AS c, [256] || {q.byte_list('text')} AS toks FROM sized),
+parts AS (
+  SELECT 'train' AS split, doc_id, s AS pos, toks[1:least(s + n, c) - s] AS t FROM cut WHERE s < c
+  UNION ALL
+  SELECT 'val', doc_id, greatest(s, c) - c, toks[greatest(s, c) - s + 1:n] FROM cut WHERE s + n > c)
+SELECT split, doc_id::BIGINT AS doc_id, pos::BIGINT AS shard_pos, len(t)::BIGINT AS n_piece, {q.md5_list('t')} AS tokens_md5 FROM parts"""
+)
+def text_corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text files as one stream: nine tenths train, the rest validates; stored and read back."""
+    folder = scratch_path(spark, "text-files")
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    documents(spark, sf_dir, "doc_id", "text").select(name.alias("of"), "text").write.partitionBy(
+        "of"
+    ).text(folder)
+    docs = read_text_corpus(spark, folder)
+    path = scratch_path(spark, "text-shards")
+    write_token_shards(pack.two_way_split(pack.place_documents(docs, BYTES), BYTES), path)
+    stored = read_token_shards(spark, path)
+    return stored.select(
+        "split", "doc_id", "shard_pos", "n_piece", digest(F.col("tokens")).alias("tokens_md5")
+    )
