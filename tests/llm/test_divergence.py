@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from check import compare
@@ -50,3 +51,23 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"], r["n_words"]) for r in kept.collect() if r["doc_id"] is not None) == [(4, 1), (5, 1)]
     assert kept.where("doc_id is null").count() == 1
     assert divergence.quality(docs.limit(0)).count() == divergence.keep_good(docs.limit(0)).count() == 0
+
+
+def test_short_texts_have_a_wider_limit(spark):
+    """From 100 words on; below that the word histogram decides nothing."""
+    plain = lambda n: " ".join(f"the house{i} and of a garden{i} in the town{i} is small{i}." for i in range(n))
+    strange = lambda n: " ".join(f"grund{i}" for i in range(n))
+    texts = [plain(200), plain(10), strange(99), strange(100), strange(150), strange(220)]
+    docs = spark.createDataFrame(
+        [(i, t, "en" if i == 0 else None, "s") for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string",
+    )
+    found = {r["doc_id"]: r["kept"] for r in divergence.quality(docs).collect()}
+    assert [found[i] for i in range(6)] == [True, True, True, False, False, False]
+    assert sorted(r["doc_id"] for r in divergence.keep_good(docs).collect()) == [0, 1, 2]
+    # At one distance a text of 110 words passes and one of 190 does not.
+    references = [("en", [1], [60, 40])]
+    rows = [(n, 0, 0, 0, 0, [n], [3 * n // 10, n - 3 * n // 10]) for n in (110, 190, 400)]
+    commons, reference = np.array([[33.0, 77.0]]), np.array([[60.0, 40.0]])
+    assert 0.24 < divergence.js_distances(commons, reference)[0] < 0.27
+    assert divergence.verdicts(rows, references).tolist() == [True, False, False]

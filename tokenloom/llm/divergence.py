@@ -4,8 +4,8 @@ Every text becomes two histograms, of character classes and of common words (all
 words share one cell). The texts
 that pass the base rules are summed per language into references, over all documents.
 A document is kept when its histograms stay within a Jensen-Shannon distance of the
-closest reference; a histogram with too few entries is not judged, so that short clean
-texts are left alone.
+closest reference; a histogram with too few entries is not judged, and the limit of the
+words is wider for texts of 100 to 200 words, so that short clean texts are left alone.
 
 A null text has no words and fails the base rule, as does an empty one. A null ``lang``
 contributes to no reference, and no document is judged by its own ``lang``. Without any
@@ -30,11 +30,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document's histogram is judged from this many characters or words on.
 MIN_CLASS_CHARS = 600
-MIN_COMMON_WORDS = 200
+MIN_COMMON_WORDS = 100
 #: A language is a reference from this many words on.
 MIN_REFERENCE_WORDS = 1000
 MAX_CLASS_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.235
+#: Few words scatter more: the limit grows by so much for each word that is missing to so many.
+SHORT_SLACK, FULL_WORDS = 0.00044, 200
 #: Rows of a batch that are held as Python texts at once.
 SLICE_ROWS = 256
 
@@ -212,8 +214,9 @@ def judge(
     column = lambda name: F.col(prefix + name)
     chars = F.aggregate(column("classes"), F.lit(0).cast("bigint"), lambda s, x: s + x)
     class_ok = (chars < MIN_CLASS_CHARS) | (column("class_distance") <= MAX_CLASS_DISTANCE)
+    missing = F.greatest(F.lit(FULL_WORDS) - column("n_words"), F.lit(0))
     word_ok = (column("n_words") < MIN_COMMON_WORDS) | (
-        column("word_distance") <= MAX_WORD_DISTANCE
+        column("word_distance") <= F.lit(MAX_WORD_DISTANCE) + F.lit(SHORT_SLACK) * missing
     )
     return rows.withColumn(f"{prefix}kept", ~column("base_failed") & class_ok & word_ok)
 
@@ -246,7 +249,8 @@ def verdicts(rows: list[tuple], references: list[tuple[str, list[int], list[int]
         of = lambda at: np.array([r[at] for r in references], dtype=np.float64)
         short = classes.sum(axis=1) < MIN_CLASS_CHARS
         kept &= short | (js_distances(classes, of(1)) <= MAX_CLASS_DISTANCE)
-        kept &= (words < MIN_COMMON_WORDS) | (js_distances(commons, of(2)) <= MAX_WORD_DISTANCE)
+        limits = MAX_WORD_DISTANCE + SHORT_SLACK * np.maximum(FULL_WORDS - words, 0)
+        kept &= (words < MIN_COMMON_WORDS) | (js_distances(commons, of(2)) <= limits)
     return kept
 
 
@@ -333,6 +337,7 @@ def check_sql() -> str:
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
            NOT base_failed
            AND (list_sum(classes) < {MIN_CLASS_CHARS} OR coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE})
-           AND (n_words < {MIN_COMMON_WORDS} OR coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE}) AS kept
+           AND (n_words < {MIN_COMMON_WORDS} OR coalesce(word_distance, 0)
+                <= {MAX_WORD_DISTANCE}::DOUBLE + {SHORT_SLACK}::DOUBLE * greatest({FULL_WORDS} - n_words, 0)) AS kept
     FROM f LEFT JOIN d USING (doc_id)
     """
