@@ -18,6 +18,8 @@ def test_query_matches_sql(spark, duck, sf_dir):
 
 def test_js_distance(spark):
     rows = [([0.5, 0.5, 0.0], [0.0, 0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), ([0.3, 0.7], [0.3, 0.7])]
+    same = [divergence.js_distances(np.array([p]), np.array([q]))[0] for p, q in rows]
+    assert same == pytest.approx([math.sqrt(0.5), 1.0, 0.0])
     df = spark.createDataFrame(rows, "p array<double>, q array<double>")
     got = [r[0] for r in df.select(divergence.js_distance(df.p, df.q)).collect()]
     assert got == pytest.approx([math.sqrt(0.5), 1.0, 0.0])
@@ -67,7 +69,9 @@ def test_short_texts_have_a_wider_limit(spark):
     assert sorted(r["doc_id"] for r in divergence.keep_good(docs).collect()) == [0, 1, 2]
     # At one distance a text of 110 words passes and one of 190 does not.
     references = [("en", [1], [60, 40])]
-    rows = [(n, 0, 0, 0, 0, [n], [3 * n // 10, n - 3 * n // 10]) for n in (110, 190, 400)]
+    words = np.array([110, 190, 400])
+    counts = np.stack([3 * words // 10, words - 3 * words // 10], axis=1)
     commons, reference = np.array([[33.0, 77.0]]), np.array([[60.0, 40.0]])
     assert 0.24 < divergence.js_distances(commons, reference)[0] < 0.27
-    assert divergence.verdicts(rows, references).tolist() == [True, False, False]
+    found = divergence.verdicts(words, 0 * words, words[:, None], counts, references)
+    assert found[-1].tolist() == [True, False, False]

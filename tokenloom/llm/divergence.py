@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tokenloom.session import materialise
 
@@ -39,6 +40,9 @@ MAX_WORD_DISTANCE = 0.235
 SHORT_SLACK, FULL_WORDS = 0.00044, 200
 #: Rows of a batch that are held as Python texts at once.
 SLICE_ROWS = 256
+#: Rows whose histograms are compared at once.
+JUDGED_ROWS = 4096
+JUDGED = ("base_failed", "class_distance", "word_distance", "kept")
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -146,8 +150,8 @@ def document_features(docs: DataFrame) -> DataFrame:
     return columns.mapInArrow(compute, f"doc_id long, lang string, {FEATURES}")
 
 
-def base_failed(prefix: str = "") -> Column:
-    words, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed() -> Column:
+    words, repeated = F.col("n_words"), F.col("n_repeat_words")
     return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
 
 
@@ -171,11 +175,6 @@ def language_references(features: DataFrame) -> list[tuple[str, list[int], list[
     return [(r["lang"], r["classes"], r["commons"]) for r in rows]
 
 
-def _shares(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.transform(values, lambda x: x / F.greatest(total, F.lit(1)))
-
-
 def js_distance(p: Column, q: Column) -> Column:
     """Square root of the Jensen-Shannon divergence, in bits, of two arrays of shares."""
 
@@ -187,46 +186,6 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def _constant_shares(rows: list[list[int]]) -> Column:
-    """One array of shares per language as a constant."""
-    text = ";".join(",".join(repr(v / max(1, sum(r))) for v in r) for r in rows)
-    return F.transform(
-        F.split(F.lit(text), ";"), lambda r: F.split(r, ",").cast("array<double>")
-    )
-
-
-def judge(
-    features: DataFrame, references: list[tuple[str, list[int], list[int]]], prefix: str = ""
-) -> DataFrame:
-    """Features with ``base_failed``, both distances to the closest reference, and ``kept``.
-
-    ``prefix`` stands in front of the names of all these columns.
-    """
-    rows = features.withColumn(f"{prefix}base_failed", base_failed(prefix))
-    for name, at, out in (("classes", 1, "class_distance"), ("commons", 2, "word_distance")):
-        if references:
-            shares = _constant_shares([r[at] for r in references])
-            rows = rows.withColumn("_shares", _shares(F.col(prefix + name)))
-            distance = F.array_min(F.transform(shares, lambda q: js_distance(F.col("_shares"), q)))
-            rows = rows.withColumn(prefix + out, distance).drop("_shares")
-        else:
-            rows = rows.withColumn(prefix + out, F.lit(0.0))
-    column = lambda name: F.col(prefix + name)
-    chars = F.aggregate(column("classes"), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    class_ok = (chars < MIN_CLASS_CHARS) | (column("class_distance") <= MAX_CLASS_DISTANCE)
-    missing = F.greatest(F.lit(FULL_WORDS) - column("n_words"), F.lit(0))
-    word_ok = (column("n_words") < MIN_COMMON_WORDS) | (
-        column("word_distance") <= F.lit(MAX_WORD_DISTANCE) + F.lit(SHORT_SLACK) * missing
-    )
-    return rows.withColumn(f"{prefix}kept", ~column("base_failed") & class_ok & word_ok)
-
-
-def quality(docs: DataFrame) -> DataFrame:
-    """Features and verdict of every document; the features are stored between the two passes."""
-    features = materialise(document_features(docs), "divergence-features")
-    return judge(features, language_references(features))
-
-
 def js_distances(histograms: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Distance of every histogram to the closest reference, as ``js_distance`` has it."""
     shares = lambda h: h / np.maximum(h.sum(axis=1, keepdims=True), 1)
@@ -240,18 +199,53 @@ def js_distances(histograms: np.ndarray, references: np.ndarray) -> np.ndarray:
     return least
 
 
-def verdicts(rows: list[tuple], references: list[tuple[str, list[int], list[int]]]) -> np.ndarray:
-    """``kept`` of ``judge`` for the features of some texts."""
-    words, repeated = (np.array([r[i] for r in rows]) for i in (0, 4))
-    classes, commons = (np.array([r[i] for r in rows], dtype=np.float64) for i in (5, 6))
-    kept = (words >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * words)
+def verdicts(
+    words: np.ndarray,
+    repeated: np.ndarray,
+    classes: np.ndarray,
+    commons: np.ndarray,
+    references: list[tuple[str, list[int], list[int]]],
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``JUDGED`` for the features of some texts; distances are 0 without references."""
+    failed = (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
+    class_distance = word_distance = np.zeros(len(words))
     if references:
         of = lambda at: np.array([r[at] for r in references], dtype=np.float64)
-        short = classes.sum(axis=1) < MIN_CLASS_CHARS
-        kept &= short | (js_distances(classes, of(1)) <= MAX_CLASS_DISTANCE)
-        limits = MAX_WORD_DISTANCE + SHORT_SLACK * np.maximum(FULL_WORDS - words, 0)
-        kept &= (words < MIN_COMMON_WORDS) | (js_distances(commons, of(2)) <= limits)
-    return kept
+        class_distance, word_distance = js_distances(classes, of(1)), js_distances(commons, of(2))
+    limits = MAX_WORD_DISTANCE + SHORT_SLACK * np.maximum(FULL_WORDS - words, 0)
+    class_ok = (classes.sum(axis=1) < MIN_CLASS_CHARS) | (class_distance <= MAX_CLASS_DISTANCE)
+    word_ok = (words < MIN_COMMON_WORDS) | (word_distance <= limits)
+    return failed, class_distance, word_distance, ~failed & class_ok & word_ok
+
+
+def judge(
+    features: DataFrame, references: list[tuple[str, list[int], list[int]]]
+) -> DataFrame:
+    """Features with ``base_failed``, both distances to the closest reference, and ``kept``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, JUDGED_ROWS):
+                part = batch.slice(low, JUDGED_ROWS)
+                column = lambda name: part.column(names.index(name))
+                cells = lambda name: column(name).flatten().to_numpy().reshape(len(part), -1)
+                figures = verdicts(
+                    column("n_words").to_numpy(), column("n_repeat_words").to_numpy(),
+                    cells("classes"), cells("commons"), references,
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array(x) for x in figures)], [*names, *JUDGED]
+                )
+
+    names = features.columns
+    fields = [StructField(n, BooleanType() if n in ("base_failed", "kept") else DoubleType()) for n in JUDGED]
+    return features.mapInArrow(run, StructType([*features.schema.fields, *fields]))
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Features and verdict of every document; the features are stored between the two passes."""
+    features = materialise(document_features(docs), "divergence-features")
+    return judge(features, language_references(features))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -269,7 +263,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 part = batch.slice(low, SLICE_ROWS)
                 texts = part.column(at).cast(pa.string())
                 rows = [text_features(t.as_py()) for t in texts]
-                yield part.filter(pa.array(verdicts(rows, references)))
+                columns = [np.array([r[i] for r in rows]) for i in (0, 4, 5, 6)]
+                yield part.filter(pa.array(verdicts(*columns, references)[-1]))
 
     return docs.mapInArrow(run, docs.schema)
 
