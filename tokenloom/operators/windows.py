@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import fixed_values as fv
 from tokenloom.functions.arrays import permutation_key
-from tokenloom.functions.permutation import permuted
+from tokenloom.functions.permutation import permuted_rows
 from tokenloom.operators.prefix import running_total_by_key, shuffled_rank
 
 
@@ -143,9 +143,11 @@ def computed_order(rows: DataFrame, *, seed: int, epochs: Column) -> DataFrame:
 
     Adds ``epoch`` and ``perm_pos``: each epoch is another permutation, and a row's place
     in it is computed from the row alone, so nothing is shuffled and no index is stored.
+    Rows are numbered from 0 to ``n_rows - 1``.
     """
     each = rows.withColumn("epoch", F.explode(epochs))
-    return each.withColumn("perm_pos", permuted(F.col("row"), F.col("n_rows"), seed, F.col("epoch")))
+    place = permuted_rows(F.col("row"), F.col("n_rows"), seed, F.col("epoch"))
+    return each.withColumn("perm_pos", place)
 
 
 def batches(ordered: DataFrame, batch_rows: int, world: int, total: str) -> DataFrame:
