@@ -1,12 +1,15 @@
 """Running totals, packing, windows, batches and tokenizers against plain Python."""
 
 import base64
+import hashlib
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tokenloom import session
+from tokenloom.functions.arrays import digest
 from tokenloom.operators import pack, prefix, windows
 from tokenloom.operators.tokenizers import (
     ByteTokenizer,
@@ -248,3 +251,40 @@ def test_no_exchange_to_a_single_task_carries_rows(spark):
         assert not ("SinglePartition" in line and "doc_id" in line)
     assert plan.count("SinglePartition") == 1
     assert "shufflepartitionidpassthrough" in plan
+
+
+def test_buckets_follow_the_input_so_that_a_task_stays_small(spark):
+    # 320 MB by Spark's estimate: a task takes 16 MB of them, whatever the number of cores.
+    assert session.default_buckets(spark.range(40_000_000)) == 320_000_000 // (16 * 1024 * 1024)
+    assert session.default_buckets(spark.range(400_000_000)) == 3_200_000_000 // (16 * 1024 * 1024)
+
+
+def test_byte_ids_come_in_batches(spark):
+    texts = ["a\u00e9", "", None, "\u65e5x", "\U0001f600" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    ids = df.select("t", BYTES.encode(F.col("t")).alias("ids"))
+    assert "ArrowEvalPython" in ids._jdf.queryExecution().executedPlan().toString()
+    assert all(r["ids"] == (None if r["t"] is None else list(r["t"].encode())) for r in ids.collect())
+
+
+def test_digest_writes_the_array_in_one_pass(spark):
+    rows = [[1, 2], [], None, [7, None, 3], [None], [256]]
+    df = spark.createDataFrame([(r,) for r in rows], "a array<int>")
+    found = df.select("a", digest(F.col("a")).alias("d"))
+    assert "to_json" in found._jdf.queryExecution().analyzed().toString()
+    for r in found.collect():
+        joined = None if r["a"] is None else ",".join(str(x) for x in r["a"] if x is not None)
+        assert r["d"] == (None if joined is None else hashlib.md5(joined.encode()).hexdigest())
+
+
+def test_one_split_is_read_without_listing_the_other(spark, tmp_path):
+    rows = [("val", 0, 0, 1, [1, 2]), ("train", 1, 0, 2, [3])]
+    fragments = spark.createDataFrame(rows, "split string, shard_id long, shard_pos long, doc_id long, tokens array<int>")
+    shards.write_token_shards(fragments, str(tmp_path / "s"))
+    for split, tokens in (("val", [1, 2]), ("train", [3])):
+        found = shards.read_token_shards(spark, str(tmp_path / "s"), split)
+        assert [r["tokens"] for r in found.collect()] == [tokens]
+        assert all(f"/split={split}/" in name for name in found.inputFiles())
+    shards.write_token_shards(fragments.where("split = 'train'"), str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        shards.read_token_shards(spark, str(tmp_path / "t"), "val")
