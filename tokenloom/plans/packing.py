@@ -395,7 +395,7 @@ def shard_position_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("shard_pos"),
     )
-    return fragments_at(asked, manifest, spark.read.parquet(path), MARK)
+    return fragments_at(asked, manifest, read_token_shards(spark, path), MARK)
 
 
 EPOCHS, ORDER_SEED = 3, 2024
