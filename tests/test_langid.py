@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tokenloom.operators import langid
@@ -72,3 +73,18 @@ def test_nothing_to_learn_from(spark):
     profile = langid.train_profile(empty)
     asked = spark.createDataFrame([(1, "abc")], "k long, text string")
     assert [r["language"] for r in langid.identify(asked, profile, keys=["k"]).collect()] == [None]
+
+
+def test_weights_are_summed_along_the_rows():
+    rng = np.random.default_rng(0)
+    known = ["the", "he ", "η γ", "abc", "b\u00e9c"]
+    weights = rng.normal(size=(len(known), 3))
+    table = langid.WeightTable(known, weights, [-9.0, -8.0, -7.0])
+    assert table.weights.shape == (3, len(known) + 1) and table.weights.flags["C_CONTIGUOUS"]
+    texts = ["the he ", "", "η γabc", "b\u00e9c", "xyz"]
+    got = table.sums(*langid.trigram_codes(texts))
+    want = [
+        sum(weights[known.index(g)] if g in known else np.array([-9.0, -8.0, -7.0]) for g in _grams(t))
+        for t in texts if _grams(t)
+    ]
+    assert np.allclose(got, want)
