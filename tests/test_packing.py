@@ -288,3 +288,17 @@ def test_one_split_is_read_without_listing_the_other(spark, tmp_path):
     shards.write_token_shards(fragments.where("split = 'train'"), str(tmp_path / "t"))
     with pytest.raises(FileNotFoundError):
         shards.read_token_shards(spark, str(tmp_path / "t"), "val")
+
+
+def test_text_files_share_folders_and_keep_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "FOLDER_FILES", 10)
+    rows = [(7 * i, f"text {i}\nof two lines") for i in range(34)] + [(None, "no id"), (7, None)]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    corpus.write_text_corpus(docs, str(tmp_path / "files"))
+    folders = [f for f in (tmp_path / "files").iterdir() if f.is_dir()]
+    assert len(folders) == 4
+    assert sum(len(list(f.glob("part-*"))) for f in folders) == 35
+    got = sorted(map(tuple, corpus.read_text_corpus(spark, str(tmp_path / "files")).collect()))
+    assert [i for i, _ in got] == list(range(35))
+    assert sorted(got[1][1].split("\n")) == ["", "", "of two lines", "text 1"]
+    assert [t for i, t in got if i != 1] == [f"{t}\n" for d, t in rows[:35] if d != 7]

@@ -15,7 +15,12 @@ from tokenloom.operators.tokenizers import ByteTokenizer, with_leading_delimiter
 from tokenloom.plans import sqltext as q
 from tokenloom.plans.catalog import documents, query
 from tokenloom.session import materialise, scratch_path, spread
-from tokenloom.sources.corpus import read_corpus, read_text_corpus, with_file_ordinal
+from tokenloom.sources.corpus import (
+    read_corpus,
+    read_text_corpus,
+    with_file_ordinal,
+    write_text_corpus,
+)
 from tokenloom.sources.shards import (
     fragments_at,
     read_token_shards,
@@ -482,10 +487,7 @@ SELECT split, doc_id::BIGINT AS doc_id, pos::BIGINT AS shard_pos, len(t)::BIGINT
 def text_corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text files as one stream: nine tenths train, the rest validates; stored and read back."""
     folder = scratch_path(spark, "text-files")
-    name = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    documents(spark, sf_dir, "doc_id", "text").select(name.alias("of"), "text").write.partitionBy(
-        "of"
-    ).text(folder)
+    write_text_corpus(documents(spark, sf_dir, "doc_id", "text"), folder)
     docs = read_text_corpus(spark, folder)
     path = scratch_path(spark, "text-shards")
     write_token_shards(pack.two_way_split(pack.place_documents(docs, BYTES), BYTES), path)

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.lookup import lookup_join
+from tokenloom.operators.prefix import running_total_by_key
 from tokenloom.session import materialise
 
 CORPUS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 SAMPLE_SIZES = ("10BT", "100BT")
+#: Files in a folder of text files. Spark numbers a task's files with three digits at least, so that
+#: up to so many names sort like their numbers.
+FOLDER_FILES = 1000
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) -> DataFrame:
@@ -25,11 +29,43 @@ def read_sized_corpus(
     return read_corpus(spark, f"{root.rstrip('/')}/sample-{size}", schema)
 
 
+def write_text_corpus(docs: DataFrame, path: str) -> None:
+    """A plain text file for every ``doc_id``, whose paths sort like the ids; a null id comes last.
+
+    Rows that share an id are lines of one file. A folder holds a thousand files: listing takes
+    a step for every folder, and a folder for each file would take longer than all texts. Tasks
+    move their own files into place, not the driver one by one.
+    """
+    line = F.coalesce(F.col("text"), F.lit(""))
+    files = docs.groupBy("doc_id").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("bigint")
+    ranked = running_total_by_key(
+        files.withColumn("_key", key),
+        F.lit(1),
+        key="_key",
+        then=["doc_id"],
+        out="_place",
+        bounds_from=docs.select(key.alias("_key")),
+    )
+    folder = F.call_function("div", F.col("_place"), F.lit(FOLDER_FILES).cast("bigint"))
+    named = ranked.withColumn("of", F.lpad(folder.cast("string"), 12, "0"))
+    (
+        named.sortWithinPartitions("of", "_place")
+        .select("of", "text")
+        .write.partitionBy("of")
+        .option("maxRecordsPerFile", 1)
+        .option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+        .text(path)
+    )
+
+
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Plain text files as one document each, numbered in path order."""
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")
     )
+    # Every file is opened once; all passes below, and the caller's, read few large ones.
+    files = materialise(files, "file-texts")
     # Names alone are sorted, by ranges; the texts are joined afterwards. The ranges are
     # stored, so that both passes over them see the same ones.
     ranged = materialise(
