@@ -69,3 +69,18 @@ def test_every_token_is_addressable(top):
     for a, b in [(0, 3000), (0, 0), (3000, 3000), (0, 1), (2999, 3000), *rng.integers(0, 3001, (40, 2))]:
         assert segment.tokens(a, b).tolist() == ids[a:b].tolist()
     assert [segment.token(i) for i in range(len(ids))] == ids.tolist()
+
+
+def test_the_earlier_table_is_asked_and_not_gone_through():
+    class Table(dict):
+        def __iter__(self):
+            raise AssertionError("every block of texts would pay for the whole table")
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two, three", "two four"]
+    want = dac.WordTokenizer(path)(texts)
+    tokenizer = dac.WordTokenizer(path)
+    tokenizer(texts[:1])
+    tokenizer._known, tokenizer._earlier = {}, Table(tokenizer._known)
+    assert tokenizer(texts) == want
+    assert set(tokenizer._known) >= {"one", "two,", "three", "four"}

@@ -220,10 +220,11 @@ class WordTokenizer:
         if len(self._known) > self._cached:
             self._known, self._earlier = {}, self._known
         pieces = [self._pieces(t) for t in texts]
-        known = self._known
+        known, earlier = self._known, self._earlier
         new = set().union(*pieces).difference(known)
-        again = new.intersection(self._earlier)
-        known.update((piece, self._earlier[piece]) for piece in again)
+        # A set's own intersection would go through the whole earlier table.
+        again = {piece for piece in new if piece in earlier}
+        known.update((piece, earlier[piece]) for piece in again)
         marked = any(map(self._names_special, texts))
         unknown, cut = set(), []
         for piece in new - again:
