@@ -1,9 +1,11 @@
 """Byte-level BPE against the tiktoken library, and exact round trips."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from tokenloom.llm import bpe
@@ -68,3 +70,20 @@ def test_literal_map_holds_every_pair():
     for key, rank in pairs.items():
         assert entries[shift[key >> 16] + (key & 0xFFFF)] == key >> 16 << 16 | rank
     assert sum(e != bpe._NO_ENTRY for e in entries) == len(pairs)
+
+
+def test_units_between_single_spaces_keep_the_words():
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    units_of = regex.compile(r"(?<=\S) (?=\S)").split
+    rng = random.Random(5)
+    texts = ["", " ", "a", " a", "a ", "a b", "it 's 've'll I'D", "a  b c\n d\x1c e \x85 f\u3000 g"]
+    texts += ["".join(rng.choices(" \n\t\x1c\x85\xa0\u3000ab'sé漢1½!", k=rng.randrange(60))) for _ in range(5000)]
+    cut = 0
+    for text in texts:
+        first, middle, last = bpe._units(text, units_of)
+        cut += len(middle)
+        words = [*split(first), *(w for u in middle for w in split(" " + u)), *split(last)]
+        assert words == split(text)
+        assert all(u[:1].strip() and u[-1:].strip() for u in middle if "\x1c" not in u)
+    assert cut > 1000 and bpe.SPACED_PATTERN == public_tokenizers.PATTERN
+    assert bpe._units("a b c", None) == ("a b c", [], "")

@@ -4,7 +4,8 @@ Three steps run in one task, without a shuffle:
 
 1. texts are cut by the split pattern; a word's first occurrence in the task gets the next
    number, and a block row carries its documents as numbers and the new words as arrays of
-   single-byte ids;
+   single-byte ids. Under ``SPACED_PATTERN`` the units between single spaces are cut once each
+   and remembered, so that a text takes a look into a table for each unit;
 2. a higher-order function folds the merges over each new word's array: every step finds the
    adjacent pair of the lowest rank, the leftmost on a tie, and replaces it. Ranks come from a
    literal map in the plan. Spark searches a map literal from front to back, which takes longer
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,12 @@ from pyspark.sql import functions as F
 LONG_WORD = 48
 BLOCK_DOCS = 64
 NUMBERED_WORDS = 300_000
+KNOWN_UNITS = 200_000
+#: A pattern that starts a new word at every space between two characters that are none, and
+#: looks no further than past the white space behind a word.
+SPACED_PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 _POSITION_BITS = 20
 #: Differs from every left id in the bits from 16 up.
 _NO_ENTRY = 1 << 33
@@ -179,6 +186,23 @@ def _one_row(values: pa.Array) -> pa.Array:
 BLOCK = "restart boolean, ids array<long>, counts array<long>, refs binary, words array<array<long>>, unmerged array<boolean>"
 
 
+def _units(text: str, units_of: Callable[[str], list[str]] | None) -> tuple[str, list[str], str]:
+    """A text as its first unit, those behind a single space each, and a last one with its space.
+
+    A space is single if no white space is next to it. The first and the last unit can have
+    white space at their outer ends, those between begin and end with another character.
+    """
+    if units_of is None:
+        return text, [], ""
+    units = text.split(" ")
+    # Wider than the pattern's white space: at worst a text is cut again by the pattern's own.
+    if not all(units) or any(map(str.isspace, [u[0] for u in units[1:]])) or any(
+        map(str.isspace, [u[-1] for u in units[:-1]])
+    ):
+        units = units_of(text)
+    return units[0], units[1:-1], " " + units[-1] if len(units) > 1 else ""
+
+
 def _number_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Block rows: documents as word numbers, and the words that are new in this task."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pair_ranks(ranks)))
@@ -186,17 +210,29 @@ def _number_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
+        units_of = regex.compile(r"(?<=\S) (?=\S)").split if pattern == SPACED_PATTERN else None
         find_rank, pairs = shared.value[0].get, shared.value[1]
-        number: dict[str, int] = {}
+        # Words and units by the little-endian numbers of their words.
+        number: dict[str, bytes] = {}
+        seen: dict[str, bytes] = {}
         restart = True
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_DOCS):
                 part = batch.slice(at, BLOCK_DOCS)
-                texts = [split(t or "") for t in part.column(1).to_pylist()]
+                texts = [_units(t or "", units_of) for t in part.column(1).to_pylist()]
                 if len(number) > NUMBERED_WORDS:
-                    number, restart = {}, True
-                new = list({w for words in texts for w in words if w not in number})
-                number.update(zip(new, range(len(number), len(number) + len(new))))
+                    number, seen, restart = {}, {}, True
+                elif len(seen) > KNOWN_UNITS:
+                    seen = {}
+                cuts = {u: split(" " + u) for u in set().union(*(x[1] for x in texts)).difference(seen)}
+                ends = [(split(first), split(last)) for first, _, last in texts]
+                new = set().union(*cuts.values(), *(x for pair in ends for x in pair))
+                new = list(new.difference(number))
+                number.update(
+                    (word, n.to_bytes(4, "little")) for n, word in enumerate(new, len(number))
+                )
+                find, find_unit = number.__getitem__, seen.__getitem__
+                seen.update((u, b"".join(map(find, x))) for u, x in cuts.items())
                 words, unmerged = [], []
                 for word in new:
                     data = word.encode()
@@ -208,13 +244,15 @@ def _number_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                     else:
                         unmerged.append(known is None)
                     words.append(ids)
-                find = number.__getitem__
-                refs = [np.fromiter(map(find, x), dtype="<i4", count=len(x)) for x in texts]
+                refs = [
+                    b"".join([*map(find, a), *map(find_unit, middle), *map(find, z)])
+                    for (a, z), (_, middle, _) in zip(ends, texts)
+                ]
                 columns = [
                     pa.array([restart]),
                     _one_row(part.column(0)),
-                    _one_row(pa.array([len(r) for r in refs], pa.int64())),
-                    pa.array([np.concatenate(refs).tobytes() if refs else b""], pa.binary()),
+                    _one_row(pa.array([len(r) // 4 for r in refs], pa.int64())),
+                    pa.array([b"".join(refs)], pa.binary()),
                     _one_row(_lists(words)),
                     _one_row(pa.array(unmerged, pa.bool_())),
                 ]
@@ -232,7 +270,7 @@ def _assemble(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     pieces = blocks.sparkSession.sparkContext.broadcast({i: p for p, i in ranks.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
+        codes: list[bytes] = []
         decoded: list[bytes] = []
         piece = pieces.value.__getitem__
         for batch in batches:
@@ -242,22 +280,20 @@ def _assemble(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     codes, decoded = [], []
                 lengths = words.values.value_lengths().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(lengths)
-                flat = words.values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+                names, data = flat.tolist(), flat.tobytes()
                 for a, b in zip((ends - lengths).tolist(), ends.tolist()):
-                    code = flat[a:b]
-                    codes.append(code)
-                    decoded.append(b"".join(map(piece, code.tolist())))
+                    codes.append(data[4 * a : 4 * b])
+                    decoded.append(b"".join(map(piece, names[a:b])))
                 numbers = np.frombuffer(refs.as_py(), dtype="<i4").tolist()
                 tokens, texts, at = [], [], 0
                 for n in counts.as_py():
                     mine = numbers[at : at + n]
                     at += n
-                    tokens.append(
-                        np.concatenate([codes[i] for i in mine]) if mine else np.zeros(0, np.int32)
-                    )
+                    tokens.append(b"".join([codes[i] for i in mine]))
                     texts.append(b"".join([decoded[i] for i in mine]))
-                ends = np.cumsum([0, *map(len, tokens)])
-                values = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+                ends = np.cumsum([0, *map(len, tokens)]) // 4
+                values = np.frombuffer(b"".join(tokens), dtype="<i4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.values,
