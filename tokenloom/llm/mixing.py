@@ -14,7 +14,8 @@ A block is taken once more per full pass, so no document exceeds the cap on its
 A null or empty text has size 0 and is never taken; a null source is a source of its own,
 the last one. Rows without an id come first in their source. Repeated rows are separate
 stretches of the stream. An empty table, or one without words, has targets of 0. Sources
-are one row each on the driver and in a broadcast, whatever the number of documents.
+are one row each on the driver and in a broadcast, whatever the number of documents; slots,
+which Spark takes for as few as their shards, are joined by a sort merge.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ class Mix:
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
         words = (
             self.fragments()
-            .join(times, ["src", "block"])
+            .join(times.hint("merge"), ["src", "block"])
             .groupBy("src", "start")
             .agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
         )
