@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -87,3 +89,27 @@ def test_units_between_single_spaces_keep_the_words():
         assert all(u[:1].strip() and u[-1:].strip() for u in middle if "\x1c" not in u)
     assert cut > 1000 and bpe.SPACED_PATTERN == public_tokenizers.PATTERN
     assert bpe._units("a b c", None) == ("a b c", [], "")
+
+
+def test_words_are_kept_in_arrays():
+    rng = random.Random(3)
+    held, want = bpe._Joined("int32"), []
+    for _ in range(300):
+        new = [[rng.randrange(9) for _ in range(rng.choice([0, 1, 2, 900]))] for _ in range(rng.randrange(40))]
+        held.add(np.array(sum(new, []), np.int32), np.array([len(x) for x in new], np.int32))
+        want += new
+    numbers = [rng.randrange(len(want)) for _ in range(50)]
+    values, ends = held.take(pa.array(numbers, pa.int32()), np.array([0, 20, 20, 50]))
+    parts = [sum((want[i] for i in part), []) for part in (numbers[:20], [], numbers[20:])]
+    assert pa.ListArray.from_arrays(ends, values).to_pylist() == parts
+    # At most twice what is held.
+    assert held.values.nbytes <= 8 * sum(map(len, want)) and held.ends.nbytes <= 8 * len(want) + 16_384
+
+
+def test_blocks_without_words(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_DOCS", 2)
+    rows = [(1, None), (2, ""), (3, None), (4, None), (5, "ab ab"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()
+    assert [(r["doc_id"], bytes(r["decoded"])) for r in got] == [(i, (t or "").encode()) for i, t in rows]
+    assert all(bool(r["ids"]) == bool(t) for r, (_, t) in zip(got, rows))

@@ -88,7 +88,7 @@ def test_odd_rows(spark):
 def test_slots_are_not_broadcast(spark):
     rows = [(i, "w " * 50, "s") for i in range(20)]
     mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    for df in (mix.taken(),):
+    for df in (mix.taken(), mix.stream()):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"SortMergeJoin \[src#\d+, block#\d+L\]", plan)
         assert not re.search(r"BroadcastHashJoin \[src#\d+, block#\d+L\]", plan)

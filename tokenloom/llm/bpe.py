@@ -15,7 +15,8 @@ Three steps run in one task, without a shuffle:
    pieces of the ids.
 
 Rows of a partition keep their order through the steps, on which the numbering relies. The
-table of numbered words is bounded and starts anew when it is full. Words that are a piece
+table of numbered words is bounded and starts anew when it is full. Two workers run for every
+task, so the last step holds its words end to end in arrays. Words that are a piece
 themselves need no fold; those of more than ``LONG_WORD`` bytes would make it quadratic and
 are merged with a heap in step 1.
 
@@ -31,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +145,7 @@ def fold_merges(ids: Column, tables: tuple[list[int], list[int]]) -> Column:
     return F.aggregate(ids, ids, step)
 
 
-def merge_with_heap(ids: list[int], pairs: dict[int, int]) -> list[int]:
+def merge_with_heap(ids: list[int], rank_of: Callable[[int, int], int | None]) -> list[int]:
     """The same merges for one long word, in order of rank and position."""
     after = [*range(1, len(ids)), -1]
     before = [-1, *range(len(ids) - 1)]
@@ -153,7 +155,7 @@ def merge_with_heap(ids: list[int], pairs: dict[int, int]) -> list[int]:
 
     def offer(i: int) -> None:
         j = after[i]
-        if j >= 0 and (rank := pairs.get(ids[i] << 16 | ids[j])) is not None:
+        if j >= 0 and (rank := rank_of(ids[i], ids[j])) is not None:
             heapq.heappush(queue, (rank, i, ids[i], ids[j]))
 
     for i in range(len(ids) - 1):
@@ -205,13 +207,18 @@ def _units(text: str, units_of: Callable[[str], list[str]] | None) -> tuple[str,
 
 def _number_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Block rows: documents as word numbers, and the words that are new in this task."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pair_ranks(ranks)))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         units_of = regex.compile(r"(?<=\S) (?=\S)").split if pattern == SPACED_PATTERN else None
-        find_rank, pairs = shared.value[0].get, shared.value[1]
+        find_rank = shared.value.get
+        pieces = {i: p for p, i in shared.value.items()}
+
+        def rank_of(left: int, right: int) -> int | None:
+            return find_rank(pieces[left] + pieces[right])
+
         # Words and units by the little-endian numbers of their words.
         number: dict[str, bytes] = {}
         seen: dict[str, bytes] = {}
@@ -239,7 +246,7 @@ def _number_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                     known = find_rank(data)
                     ids = np.array([known]) if known is not None else single[list(data)]
                     if len(ids) > LONG_WORD:
-                        ids = np.array(merge_with_heap(ids.tolist(), pairs))
+                        ids = np.array(merge_with_heap(ids.tolist(), rank_of))
                         unmerged.append(False)
                     else:
                         unmerged.append(known is None)
@@ -265,42 +272,70 @@ def _number_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     return columns.mapInArrow(run, BLOCK)
 
 
+class _Joined:
+    """Lists of numbers, kept end to end in arrays that double when they are full."""
+
+    def __init__(self, dtype: str):
+        self.values, self.ends = np.zeros(1 << 16, dtype), np.zeros(1 << 12, np.int32)
+        self.n = 0
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        low, n = int(self.ends[self.n]), self.n + len(lengths)
+        self.values = self._room(self.values, low + len(values))
+        self.ends = self._room(self.ends, n + 1)
+        self.values[low : low + len(values)] = values
+        self.ends[self.n + 1 : n + 1] = low + np.cumsum(lengths)
+        self.n = n
+
+    @staticmethod
+    def _room(held: np.ndarray, needed: int) -> np.ndarray:
+        if needed <= len(held):
+            return held
+        wider = np.zeros(max(needed, 2 * len(held)), held.dtype)
+        wider[: len(held)] = held
+        return wider
+
+    def take(self, numbers: pa.Array, stops: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The lists of the given numbers in a row, and where ``stops`` of them end."""
+        ends = pa.array(self.ends[: self.n + 1])
+        found = pa.ListArray.from_arrays(ends, pa.array(self.values[: self.ends[self.n]])).take(numbers)
+        return found.flatten(), found.offsets.take(pa.array(stops))
+
+
 def _assemble(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Documents' ids and decoded bytes from block rows with encoded words."""
-    pieces = blocks.sparkSession.sparkContext.broadcast({i: p for p, i in ranks.items()})
+    by_id = [b""] * (1 + max(ranks.values()))
+    for piece, i in ranks.items():
+        by_id[i] = piece
+    shared = blocks.sparkSession.sparkContext.broadcast(pa.array(by_id, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[bytes] = []
-        decoded: list[bytes] = []
-        piece = pieces.value.__getitem__
+        pieces = shared.value
+        sizes = pc.binary_length(pieces).to_numpy()
+        codes, decoded = _Joined("int32"), _Joined("uint8")
         for batch in batches:
             for row in range(batch.num_rows):
                 restart, ids, counts, refs, words = (batch.column(i)[row] for i in range(5))
                 if restart.as_py():
-                    codes, decoded = [], []
+                    codes, decoded = _Joined("int32"), _Joined("uint8")
                 lengths = words.values.value_lengths().to_numpy(zero_copy_only=False)
-                ends = np.cumsum(lengths)
-                flat = words.values.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-                names, data = flat.tolist(), flat.tobytes()
-                for a, b in zip((ends - lengths).tolist(), ends.tolist()):
-                    codes.append(data[4 * a : 4 * b])
-                    decoded.append(b"".join(map(piece, names[a:b])))
-                numbers = np.frombuffer(refs.as_py(), dtype="<i4").tolist()
-                tokens, texts, at = [], [], 0
-                for n in counts.as_py():
-                    mine = numbers[at : at + n]
-                    at += n
-                    tokens.append(b"".join([codes[i] for i in mine]))
-                    texts.append(b"".join([decoded[i] for i in mine]))
-                ends = np.cumsum([0, *map(len, tokens)]) // 4
-                values = np.frombuffer(b"".join(tokens), dtype="<i4")
+                flat = words.values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                codes.add(flat, lengths)
+                # Sums of the pieces' sizes up to every word's end.
+                ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum(lengths)]
+                text = b"".join(pieces.take(pa.array(flat)).to_pylist())
+                decoded.add(np.frombuffer(text, np.uint8), np.diff(ends, prepend=0))
+                numbers = pa.array(np.frombuffer(refs.as_py(), dtype="<i4"))
+                stops = np.cumsum([0, *counts.as_py()])
+                tokens, ends = codes.take(numbers, stops)
+                texts, bounds = decoded.take(numbers, stops)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.values,
-                        pa.ListArray.from_arrays(
-                            pa.array(ends, pa.int32()), pa.array(values, pa.int32())
+                        pa.ListArray.from_arrays(ends, tokens),
+                        pa.Array.from_buffers(
+                            pa.binary(), len(stops) - 1, [None, bounds.buffers()[1], texts.buffers()[1]]
                         ),
-                        pa.array(texts, pa.binary()),
                     ],
                     ["doc_id", "ids", "decoded"],
                 )

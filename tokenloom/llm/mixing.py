@@ -231,7 +231,7 @@ class Mix:
 
     def stream(self) -> DataFrame:
         """The mix itself: every slot with the document fragments of its block."""
-        return self.slots().join(self.fragments(), ["src", "block"])
+        return self.slots().hint("merge").join(self.fragments(), ["src", "block"])
 
     def taken(self) -> DataFrame:
         """``(doc_id, size, source_size, target, taken)`` of every document."""
