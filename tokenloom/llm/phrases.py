@@ -3,14 +3,18 @@
 Texts of one language are dealt to shards that fit in a worker's memory. Every shard is mined
 completely, for phrases whose local count reaches the global support lowered in proportion
 to the shard's bytes: a phrase below its local support in every shard cannot reach the
-support in all. The union of what is locally frequent is then counted exactly in a second
-pass over the same shards. Counts, cuts and scores are plain joins and aggregates afterwards.
+support in all. Of the union of what is locally frequent, a phrase stays a candidate while the
+counts that shards report, and what the others hide below their support, may reach the support
+together. Shards are mined for pairs first, and for longer phrases where all pairs are such
+candidates. A phrase that no shard can hide has its count by then; the others are counted
+exactly in a second pass over all texts. Counts, cuts and scores are plain joins and
+aggregates afterwards.
 
 Candidates reach the counting pass as a broadcast trie of at most ``BATCH_PHRASES`` phrases;
 more of them are counted in further passes, split by their first two words. A shard that
-grows beyond its size is mined as several. Local support falls to one, and nothing is
-excluded before counting, where a language has over ``support`` full shards: raise
-``shard_bytes`` with the workers' memory (about eight times as much is held).
+grows beyond its size is mined as several. Local support falls to one where a language has
+over ``support`` full shards: all pairs are reported then, but longer phrases only where their
+pairs are frequent everywhere (about eight times ``shard_bytes`` is held by a worker).
 
 ``A-Z`` are lower-cased; texts are cut into pieces at ``.,;:!?`` and line breaks, and pieces
 into words at spaces and tabs. A null text is empty; a null language is ``und``. Equal rows
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.lookup import lookup_join
-from tokenloom.session import materialise, scratch_path
+from tokenloom.session import materialise, scratch_path, spread
 
 SUPPORT = 100
 MAX_WORDS = 5
@@ -101,19 +106,35 @@ class Shard:
         )
         self.size += sum(map(len, texts))
 
-    def mine(self, support: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        """``(words, phrases, counts)``: every word, and every phrase of the given local support."""
+    def pair_keys(self, pairs: list[pa.Array]) -> np.ndarray:
+        """The pairs whose words both turned up, as numbers."""
+        find, found = self.numbers.get, []
+        for some in pairs:
+            words = pc.split_pattern(some, " ").flatten().to_pylist()
+            both = np.array([find(w, -1) for w in words], dtype=np.int64).reshape(-1, 2)
+            both = both[(both >= 0).all(axis=1)]
+            found.append(both[:, 0] * len(self.numbers) + both[:, 1])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+    def mine(
+        self, support: int, longest: int = MAX_WORDS, pairs: list[pa.Array] | None = None
+    ) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+        """``(words, phrases, counts)``: every word, and every phrase of the given local support.
+
+        With ``pairs``, only phrases of three words and more, whose pairs are all among them.
+        """
         at = np.concatenate(self.parts)
         self.parts = []
         names = list(self.numbers)
         counts = np.bincount(at, minlength=len(names))
-        yield from _pieces(1, np.arange(1, len(names))[:, None], counts[1:], names)
+        if pairs is None:
+            yield from _pieces(1, np.arange(1, len(names))[:, None], counts[1:], names)
         frequent = counts >= support
         frequent[0] = False
         # Number of the frequent phrase that starts at each place, or -1.
         here = np.where(frequent[at], at, -1).astype(np.int32)
         spelt = np.arange(len(names))[:, None]
-        for length in range(2, MAX_WORDS + 1):
+        for length in range(2, longest + 1):
             ahead = here[1:]
             here = here[:-1]
             places = np.nonzero((here >= 0) & (ahead >= 0))[0]
@@ -124,6 +145,8 @@ class Shard:
             keys = here[places].astype(np.int64) * width + ahead[places]
             found, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
             kept = counts >= support
+            if pairs is not None and length == 2:
+                kept &= np.isin(found, self.pair_keys(pairs))
             number = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
             nexts = np.full(len(here), -1, dtype=np.int32)
             nexts[places] = number[which]
@@ -131,7 +154,8 @@ class Shard:
             spelt = np.hstack([spelt[found // width], spelt[found % width][:, -1:]])
             here = nexts
             del keys, which, places, ahead
-            yield from _pieces(length, spelt, counts[kept], names)
+            if pairs is None or length > 2:
+                yield from _pieces(length, spelt, counts[kept], names)
 
 
 def _pieces(
@@ -142,8 +166,8 @@ def _pieces(
         yield length, [b" ".join([names[i] for i in row]) for row in rows], counts[at : at + EMIT_ROWS]
 
 
-def deal(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """``(lang, all_bytes, text)`` with one shard in each partition."""
+def deal(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``(lang, all_bytes, text, shard)`` of every text, and the number of shards."""
     sizes = docs.groupBy("lang").agg(F.sum("size").alias("all_bytes")).where("all_bytes > 0")
     wanted = F.greatest(
         F.ceil(F.col("all_bytes") / shard_bytes),
@@ -159,37 +183,68 @@ def deal(docs: DataFrame, shard_bytes: int) -> DataFrame:
     dealt = lookup_join(docs.where("size > 0"), sizes, ["lang"], spread_by=F.col("doc_id"))
     # Equal rows go to one shard; the worker cuts it where they are too many.
     number = F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), F.col("shards"))
-    dealt = dealt.select("lang", "all_bytes", "text", number.cast("int").alias("shard"))
-    dealt = dealt.repartitionById(max(1, total), F.col("shard"))
-    return dealt.select("lang", "all_bytes", "text")
+    return dealt.select("lang", "all_bytes", "text", number.cast("int").alias("shard")), max(1, total)
 
 
-def mine_shards(dealt: DataFrame, support: int, shard_bytes: int) -> DataFrame:
-    """``(lang, phrase, words, count)`` from every shard: all words, and what is frequent there.
+def mine_shards(
+    dealt: DataFrame,
+    shards: int,
+    support: int,
+    shard_bytes: int,
+    longest: int = MAX_WORDS,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
+    """``(lang, shard, phrase, words, count, hidden)`` from every shard: all words, and what is frequent there.
 
     ``count`` is the count in the shard, so sums over shards are exact for single words only.
+    What a shard does not report occurs there ``hidden`` times at most; a row of no words has
+    that number for every shard. With ``pairs`` ``(lang, shard, phrase)``, longer phrases of
+    these pairs alone.
     """
-    schema = "lang string, phrase binary, words int, count long"
+    schema = "lang string, shard int, phrase binary, words int, count long, hidden long"
+    only_longer = pairs is not None
+    rows = dealt.select("lang", "all_bytes", "text", "shard", F.lit(False).alias("pair"))
+    if pairs is not None:
+        none = F.lit(0).cast("long").alias("all_bytes")
+        known = pairs.select("lang", none, F.col("phrase").alias("text"), "shard", F.lit(True).alias("pair"))
+        rows = rows.unionByName(known)
+    rows = rows.repartitionById(shards, F.col("shard"))
+    if pairs is not None:
+        # A shard's pairs come in front of its texts.
+        rows = rows.sortWithinPartitions(F.desc("pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, lang, whole = Shard(), None, 0
+        shard, lang, whole, number = Shard(), None, 0, 0
+        allowed: dict[str, list[pa.Array]] = {}
 
         def results() -> Iterator[pa.RecordBatch]:
             least = max(1, -(-support * shard.size // whole))
-            for length, phrases, counts in shard.mine(least):
+            own = allowed.get(lang, []) if only_longer else None
+            mined = shard.mine(least, longest, own)
+            for length, phrases, counts in chain([(0, [b""], np.array([least - 1]))], mined):
                 n = len(phrases)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * n, pa.string()),
+                        pa.array(np.full(n, number, dtype=np.int32)),
                         pa.array(phrases, pa.binary()),
                         pa.array(np.full(n, length, dtype=np.int32)),
                         pa.array(counts.astype(np.int64)),
+                        pa.array(np.full(n, least - 1, dtype=np.int64)),
                     ],
-                    ["lang", "phrase", "words", "count"],
+                    ["lang", "shard", "phrase", "words", "count", "hidden"],
                 )
 
         for batch in batches:
+            flags = batch.column(4)
+            if only_longer and pc.any(flags).as_py():
+                own = batch.filter(flags)
+                for name in pc.unique(own.column(0)).to_pylist():
+                    some = own.filter(pc.equal(own.column(0), name)).column(2)
+                    allowed.setdefault(name, []).append(some)
+                batch = batch.filter(pc.invert(flags))
             langs, sizes_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            numbers = batch.column(3).to_pylist()
             for start, texts in steps(batch, 2):
                 # A partition holds one language; shards of several would be told apart here.
                 cuts = [i for i in range(1, len(texts)) if langs[start + i] != langs[start + i - 1]]
@@ -199,16 +254,35 @@ def mine_shards(dealt: DataFrame, support: int, shard_bytes: int) -> DataFrame:
                     ):
                         yield from results()
                         shard = Shard()
-                    lang, whole = langs[start + low], sizes_[start + low]
+                    at = start + low
+                    lang, whole, number = langs[at], sizes_[at], numbers[at]
                     shard.add(texts[low:high])
         if lang is not None:
             yield from results()
 
-    return dealt.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def possible(mined: DataFrame, support: int) -> DataFrame:
+    """``(lang, phrase, words, a, open)`` of mined phrases that may have the support in all shards.
+
+    ``a`` is what shards report, ``open`` what the others may hide; with none open, ``a`` is exact.
+    """
+    every = mined.where("words = 0").groupBy("lang").agg(F.sum("count").alias("hides"))
+    sums = mined.where("words > 1").groupBy("lang", "phrase", "words").agg(
+        F.sum("count").alias("a"), F.sum("hidden").alias("told")
+    )
+    # One row per language.
+    sums = lookup_join(sums, every, ["lang"], spread_by=F.col("phrase"))
+    sums = sums.withColumn("open", F.col("hides") - F.col("told")).where(F.col("a") + F.col("open") >= support)
+    return sums.select("lang", "phrase", "words", "a", "open")
 
 
 class Trie:
-    """Candidates of one language: sorted keys per length, each the shorter phrase and a word."""
+    """Candidates of one language: sorted keys per length, each the shorter phrase and a word.
+
+    What only begins candidates has the id -1.
+    """
 
     def __init__(self, phrases: pa.Array, ids: np.ndarray):
         split = pc.split_pattern(phrases, " ")
@@ -220,15 +294,16 @@ class Trie:
         self.keys: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []
         width = len(self.words)
+        node = numbers[starts]
         for length in range(2, lengths.max() + 1):
-            rows = np.nonzero(lengths == length)[0]
-            node = numbers[starts[rows]]
-            for level, keys in enumerate(self.keys, 2):
-                node = np.searchsorted(keys, node * width + numbers[starts[rows] + level - 1])
-            keys = node * width + numbers[starts[rows] + length - 1]
-            order = np.argsort(keys)
-            self.keys.append(keys[order])
-            self.ids.append(ids[rows][order])
+            rows = np.nonzero(lengths >= length)[0]
+            keys = node[rows] * width + numbers[starts[rows] + length - 1]
+            keys, node[rows] = np.unique(keys, return_inverse=True)
+            own = np.full(len(keys), -1, dtype=np.int64)
+            ends = rows[lengths[rows] == length]
+            own[node[ends]] = ids[ends]
+            self.keys.append(keys)
+            self.ids.append(own)
 
     def numbering(self) -> dict[bytes, int]:
         return _Numbers(zip(self.words, range(len(self.words))))
@@ -258,11 +333,12 @@ class _Numbers(dict):
 def count_phrases(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(cid, a)``: occurrences of every candidate ``(cid, lang, phrase)`` in all texts.
 
-    ``docs`` holds one shard in each partition, so that a candidate leaves as many partial
-    counts as its language has shards, not as many as the table has splits.
+    ``docs`` is read as it is stored: dealing it out would write all texts for every pass.
     """
     spark = docs.sparkSession
     n = candidates.count()
+    if not n:
+        return spark.createDataFrame([], "cid long, a long")
     batches = max(1, -(-n // BATCH_PHRASES))
     pair = F.substring_index(F.col("phrase").cast("string"), " ", 2)
     dealt = candidates.withColumn("batch", F.pmod(F.xxhash64("lang", pair), F.lit(batches)))
@@ -302,7 +378,7 @@ def _counter(shared):
                         tries[lang].count(at, counts[lang])
         for lang, trie in tries.items():
             for ids, found in zip(trie.ids, counts[lang]):
-                seen = np.nonzero(found)[0]
+                seen = np.nonzero((found > 0) & (ids >= 0))[0]
                 if len(seen):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[seen]), pa.array(found[seen])], ["cid", "a"]
@@ -315,23 +391,29 @@ def phrase_counts(
     docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, words, a)`` of frequent phrases and words, and ``(lang, n)``, both exact."""
-    dealt = deal(prepared(docs), shard_bytes)
-    mined = materialise(mine_shards(dealt, support, shard_bytes), "phrases-mined")
+    texts = prepared(docs)
+    dealt, shards = deal(texts, shard_bytes)
+    mined = materialise(mine_shards(dealt, shards, support, shard_bytes, longest=2), "phrases-mined")
     words = materialise(
         mined.where("words = 1").groupBy("lang", "phrase").agg(F.sum("count").alias("a")),
         "phrase-words",
     )
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
+    pairs = materialise(possible(mined, support), "phrase-pairs")
+    own = mined.where("words = 2").join(pairs.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+    longer = materialise(
+        mine_shards(dealt, shards, support, shard_bytes, pairs=own), "phrases-longer"
+    )
     # Stored with its numbers, so that both passes below see the same ones.
     candidates = materialise(
-        mined.where("words > 1")
-        .select("lang", "phrase", "words")
-        .distinct()
-        .withColumn("cid", F.monotonically_increasing_id()),
+        pairs.unionByName(possible(longer, support)).withColumn("cid", F.monotonically_increasing_id()),
         "phrase-candidates",
     )
-    counted = count_phrases(dealt, candidates).where(F.col("a") >= support)
-    longer = candidates.join(counted, "cid").select("lang", "phrase", "words", "a")
+    unsure = candidates.where("open > 0").drop("a")
+    counted = count_phrases(spread(texts, "doc_id"), unsure).where(F.col("a") >= support)
+    longer = candidates.where("open = 0").select("lang", "phrase", "words", "a").unionByName(
+        unsure.join(counted, "cid").select("lang", "phrase", "words", "a")
+    )
     single = words.where(F.col("a") >= support).select(
         "lang", "phrase", F.lit(1).alias("words"), "a"
     )
